@@ -47,3 +47,19 @@ def may_learn(doc_id: Column) -> Column:
 
 def utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows (df should be a stored table of few, fixed-width columns);
+    as it is otherwise, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def lowered(text: Column) -> Column:
+    """A-Z in lower case, all else unchanged, as the contracts ask."""
+    return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())
+
+
+def words(text: Column) -> Column:
+    """Lower-cased words; none for a null text."""
+    return F.filter(F.split(lowered(F.coalesce(text, F.lit(""))), f"[{SPACE}]+"), lambda w: w != "")

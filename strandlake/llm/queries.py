@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, linededup, packing, pii, tokens, topk, toxicity
+from . import chat, decontaminate, langid, linededup, packing, pii, tokens, topk, toxicity
 from .common import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -106,3 +106,25 @@ s AS (
 r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+ORACLE_SQL["op1_decontamination"] = f"""
+WITH i AS (
+  SELECT item_id, w, least(len(w), 5) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+s AS (
+  SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS shingle FROM i),
+z AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+t AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - l.n + 2), lambda k: array_to_string(w[k:k + l.n - 1], ' '))) AS shingle
+  FROM d, (SELECT DISTINCT n FROM i) l)
+SELECT doc_id, item_id, CAST(count(*) AS BIGINT) AS n_shared, CAST(any_value(n_item) AS BIGINT) AS n_item
+FROM t JOIN s USING (shingle) JOIN z USING (item_id) GROUP BY doc_id, item_id
+HAVING 5 * count(*) >= 4 * any_value(n_item)"""
