@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, linededup, packing, pii, tokens, topk, toxicity
+from . import chat, decontaminate, jaccard, langid, linededup, packing, pii, tokens, topk, toxicity
 from .common import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -128,3 +128,8 @@ t AS (
 SELECT doc_id, item_id, CAST(count(*) AS BIGINT) AS n_shared, CAST(any_value(n_item) AS BIGINT) AS n_item
 FROM t JOIN s USING (shingle) JOIN z USING (item_id) GROUP BY doc_id, item_id
 HAVING 5 * count(*) >= 4 * any_value(n_item)"""
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"), 3, 90, 100)
