@@ -1,4 +1,562 @@
-"""Registered queries by name, and the SQL that gives the same rows."""
+"""Registered queries by name, and the SQL that gives the same rows.
+
+Prose becomes sequences by ``derived_dna``; DNA in the SQL below is the same rule.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandlake.functions import alignment_fields as af
+from strandlake.functions import composition, distance, matching, quality
+from strandlake.functions.alphabet import (
+    ALPHABETS,
+    amino_acid_code,
+    derived_dna,
+    nucleotide_code,
+    nucleotide_complement,
+    nucleotide_letter,
+    three_letter,
+)
+from strandlake.functions.ranks import BitEncoding, RankTransform
+from strandlake.operators import align, fulltext, length_stats as ls, matrices, orf
+from strandlake.operators.stored import fresh
+from strandlake.sources import bam, fastx, sam
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dna_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", derived_dna(F.col("text")).alias("s"))
+
+
+AZ = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+DNA = f"translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{AZ}', '{'ACGT' * 13}')"
+DOCS = f"WITH d AS (SELECT doc_id, {DNA} AS s FROM documents)"
+#: Starts of benchmark items as short texts with an end mark.
+SHORT = f"WITH b AS (SELECT item_id, left({DNA}, 48) || '$' AS t FROM benchmark)"
+
+
+def short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.left(derived_dna(F.col("text")), F.lit(48)), F.lit("$")).alias("t"))
+
+
+# --- aggregates
+
+
+@query(
+    f"""{DOCS},
+l AS (SELECT length(s) AS n FROM d),
+b AS (SELECT n, count(*) AS c FROM l GROUP BY n),
+w AS (SELECT n, c, sum(n * c) OVER (ORDER BY n DESC) AS cum, row_number() OVER (ORDER BY n DESC) AS k, sum(n * c) OVER () AS tot FROM b),
+r AS (SELECT n, row_number() OVER (ORDER BY n) AS rn, count(*) OVER () AS m FROM l),
+q AS (SELECT n, rn, m, (m + 1) // 2 AS h FROM r)
+SELECT CAST(any_value(m) AS BIGINT) AS count, CAST(sum(n) AS BIGINT) AS sum, CAST(min(n) AS BIGINT) AS min, CAST(max(n) AS BIGINT) AS max,
+  CAST(sum(n) AS DOUBLE) / any_value(m) AS mean,
+  avg(CASE WHEN rn IN ((h + 1) // 2, (h + 2) // 2) THEN n END) AS q1,
+  avg(CASE WHEN rn IN ((m + 1) // 2, (m + 2) // 2) THEN n END) AS q2,
+  avg(CASE WHEN rn IN (m // 2 + (h + 1) // 2, m // 2 + (h + 2) // 2) THEN n END) AS q3,
+  (SELECT CAST(max(n) AS BIGINT) FROM w WHERE cum >= tot * 0.5) AS n50,
+  (SELECT CAST(min(k) AS BIGINT) FROM w WHERE cum >= tot * 0.5) AS l50,
+  (SELECT CAST(max(n) AS BIGINT) FROM w WHERE cum >= tot * 0.9) AS n90
+FROM q"""
+)
+def length_stats(spark, sf_dir):
+    return ls.length_stats(dna_of(spark, sf_dir), F.length("s"))
+
+
+@query(
+    """WITH l AS (SELECT source, length(text) AS n FROM documents WHERE text IS NOT NULL),
+b AS (SELECT source, n, count(*) AS c FROM l GROUP BY ALL),
+w AS (SELECT *, sum(n * c) OVER (PARTITION BY source ORDER BY n DESC) AS cum, sum(n * c) OVER (PARTITION BY source) AS tot FROM b)
+SELECT source, CAST(sum(c) AS BIGINT) AS count, CAST(max(CASE WHEN cum >= tot * 0.5 THEN n END) AS BIGINT) AS n50,
+  CAST(max(CASE WHEN cum >= tot * 0.75 THEN n END) AS BIGINT) AS n75 FROM w GROUP BY source"""
+)
+def length_stats_by_source(spark, sf_dir):
+    return ls.length_stats(table(spark, sf_dir, "documents"), F.length("text"), ["source"], (75,)).select("source", "count", "n50", "n75")
+
+
+@query(
+    f"""{DOCS}, b AS (SELECT CAST(length(s) AS BIGINT) AS length, count(*) AS n FROM d GROUP BY 1)
+SELECT length, CAST(n AS BIGINT) AS n, CAST(sum(n) OVER (ORDER BY length) AS BIGINT) AS seen FROM b"""
+)
+def length_bins(spark, sf_dir):
+    return ls.length_bins(dna_of(spark, sf_dir), F.length("s"))
+
+
+@query(
+    f"""{DOCS}, g AS (SELECT *, regexp_replace(s, '(.).?.?', '\\1', 'g') AS third FROM d)
+SELECT doc_id, CAST(length(s) - length(translate(s, 'AT', '')) AS BIGINT) AS n_at, CAST(length(s) - length(translate(s, 'GC', '')) AS BIGINT) AS n_gc,
+  CASE WHEN length(s) = 0 THEN 'NaN'::FLOAT ELSE CAST((length(s) - length(translate(s, 'GC', ''))) / length(s) AS FLOAT) END AS gc,
+  CASE WHEN length(s) = 0 THEN 'NaN'::FLOAT ELSE CAST((length(third) - length(translate(third, 'GC', ''))) / length(third) AS FLOAT) END AS gc3 FROM g"""
+)
+def base_composition(spark, sf_dir):
+    s = F.col("s")
+    return dna_of(spark, sf_dir).select(
+        "doc_id",
+        composition.count_any(s, "AATT").cast("long").alias("n_at"),
+        composition.gc_count(s).cast("long").alias("n_gc"),
+        composition.gc_content(s).alias("gc"),
+        composition.gc3_content(s).alias("gc3"),
+    )
+
+
+# --- alphabets
+
+
+@query(
+    f"""{DOCS}
+SELECT doc_id, md5(translate(s, 'ACGT', 'TGCA')) AS complement, md5(reverse(translate(s, 'ACGT', 'TGCA'))) AS revcomp,
+  reverse(translate(left(text, 40), 'acgtrykmswbdhvnxACGTRYKMSWBDHVNX-', 'tgcayrmkswvhdbnxTGCAYRMKSWVHDBNX-')) AS iupac FROM d JOIN documents USING (doc_id)"""
+)
+def reverse_complement(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("s", derived_dna(F.col("text")))
+    dna, wide = ALPHABETS["dna"], ALPHABETS["dna_redundant"]
+    return docs.select(
+        "doc_id",
+        F.md5(dna.complement(F.col("s"))).alias("complement"),
+        F.md5(dna.reverse_complement(F.col("s"))).alias("revcomp"),
+        wide.reverse_complement(F.left("text", F.lit(40))).alias("iupac"),
+    )
+
+
+@query(
+    """SELECT doc_id, CAST(nullif(length(regexp_extract(text, '^[acgtACGT]*')), length(text)) AS INTEGER) AS dna,
+  CAST(nullif(length(regexp_extract(text, '^[acgurykmswbdhvnACGURYKMSWBDHVN-]*')), length(text)) AS INTEGER) AS rna_redundant,
+  CAST(nullif(length(regexp_extract(text, '^[a-np-tv-zA-NP-TV-Z*-]*')), length(text)) AS INTEGER) AS protein FROM documents"""
+)
+def first_invalid_letter(spark, sf_dir):
+    kinds = ("dna", "rna_redundant", "protein")
+    return table(spark, sf_dir, "documents").select("doc_id", *(ALPHABETS[k].first_invalid(F.col("text")).cast("int").alias(k) for k in kinds))
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT unnest(string_split(left(text, 200), '')) AS c FROM documents),
+n AS (SELECT c, upper(translate(c, 'uU', 'TT')) AS u FROM c WHERE c BETWEEN ' ' AND '~'),
+t AS (SELECT c, CAST(nullif(instr('=ACMGRSVTWYHKDBN', u), 0) - 1 AS INTEGER) AS code, CAST(nullif(instr('ARNDCQEGHILKMFPSTWYVUOBZJX*-', upper(c)), 0) - 1 AS INTEGER) AS amino FROM n)
+SELECT c, code, CAST(CASE WHEN code IS NOT NULL THEN instr('=ACMGRSVTWYHKDBN', substr('=TGKCYSBAWRDMHVN', code + 1, 1)) - 1 END AS INTEGER) AS pair,
+  substr('=ACMGRSVTWYHKDBN', code + 1, 1) AS letter, amino,
+  (string_split('Ala Arg Asn Asp Cys Gln Glu Gly His Ile Leu Lys Met Phe Pro Ser Thr Trp Tyr Val Sec Pyl Asx Glx Xle Xaa Ter Gap', ' '))[amino + 1] AS three,
+  CAST(nullif(instr('-abcdefghijklmnpqrstvwxyz*', lower(c)), 0) - 1 AS INTEGER) AS protein,
+  CASE WHEN instr('acgtnxACGTNX-', c) > 0 THEN translate(c, 'acgtnxACGTNX-', 'tgcanxTGCANX-') END AS complement FROM t"""
+)
+def letter_codes(spark, sf_dir):
+    c = F.col("c")
+    letters = table(spark, sf_dir, "documents").select(F.explode(F.split(F.left("text", F.lit(200)), "")).alias("c")).distinct().where("c between ' ' and '~'")
+    code = nucleotide_code(c)
+    return letters.select(
+        "c",
+        code.cast("int").alias("code"),
+        F.when(code.isNotNull(), nucleotide_complement(code)).cast("int").alias("pair"),
+        nucleotide_letter(code).alias("letter"),
+        amino_acid_code(c).cast("int").alias("amino"),
+        three_letter(c).alias("three"),
+        ALPHABETS["protein"].index(c).cast("int").alias("protein"),
+        ALPHABETS["dna"].complement_letter(c).alias("complement"),
+    )
+
+
+# --- qualities
+
+
+@query(
+    """WITH q AS (SELECT DISTINCT l_partkey % 94 AS q FROM lineitem)
+SELECT CAST(q AS INTEGER) AS q, round(pow(10.0, -q / 10.0), 12) AS p, CAST(q AS INTEGER) AS again, chr(CAST(q + 33 AS INTEGER)) AS sanger,
+  CAST(CASE WHEN q = 0 THEN -5 ELSE round(10 * log10(nullif(pow(10.0, q / 10.0) - 1, 0))) END AS INTEGER) AS solexa,
+  CAST(round(10 * log10(pow(10.0, (q - 10) / 10.0) + 1)) AS INTEGER) AS from_solexa, CAST(q AS INTEGER) AS decoded FROM q"""
+)
+def quality_scores(spark, sf_dir):
+    q = F.col("q")
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 94).cast("int").alias("q")).distinct()
+    p = quality.error_probability(q)
+    letter = quality.encode_phred(q, "sanger")
+    return rows.select(
+        "q",
+        F.round(p, 12).alias("p"),
+        quality.phred_from_probability(p).alias("again"),
+        letter.alias("sanger"),
+        quality.phred_to_solexa(q).alias("solexa"),
+        quality.solexa_to_phred(q - 10).alias("from_solexa"),
+        quality.decode_phred(letter, "illumina_1_8").cast("int").alias("decoded"),
+    )
+
+
+# --- fields of alignments
+
+FLAG_SQL = ", ".join(f"(f & {1 << k}) <> 0 AS {name}" for k, name in enumerate(af.FLAGS))
+
+
+@query(f"WITH f AS (SELECT DISTINCT CAST(l_partkey % 8192 AS INTEGER) AS f FROM lineitem) SELECT f AS flag, {FLAG_SQL}, f & 4095 AS value FROM f")
+def sam_flags(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 8192).cast("int").alias("flag")).distinct()
+    return rows.select("flag", af.flags(F.col("flag")).alias("b")).select("flag", "b.*", af.flag_value(F.col("b")).alias("value"))
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_linenumber AS a, l_partkey % 50 + 1 AS b, l_suppkey % 9 AS c FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(5 AS INTEGER) AS n_ops, CAST(a + b + c + 3 AS BIGINT) AS query_length, CAST(b + c + 2 * a AS BIGINT) AS reference_length, 'S' AS first_op, CAST(1 AS INTEGER) AS code_of_second FROM l"""
+)
+def cigar_spans(spark, sf_dir):
+    a, b, c = F.col("l_linenumber"), F.col("l_partkey") % 50 + 1, F.col("l_suppkey") % 9
+    text = F.concat(F.lit("3S"), a, F.lit("I"), b, F.lit("M"), a * 2, F.lit("N"), c, F.lit("="))
+    ops = F.col("ops")
+    return (
+        table(spark, sf_dir, "lineitem")
+        .select("l_orderkey", "l_linenumber", af.cigar(text).alias("ops"))
+        .select(
+            "l_orderkey",
+            "l_linenumber",
+            F.size("ops").alias("n_ops"),
+            af.query_length(ops).alias("query_length"),
+            af.reference_length(ops).alias("reference_length"),
+            af.cigar_op(af.cigar_code(ops[0]["op"])).alias("first_op"),
+            af.cigar_code(ops[1]["op"]).cast("int").alias("code_of_second"),
+        )
+    )
+
+
+@query(
+    """SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS nm, o_orderpriority || ':x' AS md, CAST(o_custkey % 7 AS FLOAT) AS xf, left(o_orderstatus, 1) AS ch,
+  CAST(3 AS BIGINT) + o_custkey AS arr_sum, 'S' AS sub, CAST(NULL AS BIGINT) AS absent FROM orders"""
+)
+def aux_fields(spark, sf_dir):
+    key = F.col("o_custkey")
+    text = F.concat(
+        F.lit("NM:i:"), key, F.lit("\tMD:Z:"), F.col("o_orderpriority"), F.lit(":x\t\tXF:f:"), key % 7, F.lit("\tCH:A:"), F.left("o_orderstatus", F.lit(1)), F.lit("\tAR:B:S,1,2,"), key
+    )
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", af.aux_fields(text).alias("x"))
+    get = lambda t: af.aux_get(F.col("x"), t)
+    return rows.select(
+        "o_orderkey",
+        get("NM")["i"].alias("nm"),
+        get("MD")["s"].alias("md"),
+        get("XF")["f"].alias("xf"),
+        get("CH")["c"].alias("ch"),
+        F.aggregate(af.array_ints(get("AR")), F.lit(0).cast("long"), lambda a, v: a + v).alias("arr_sum"),
+        get("AR")["sub"].alias("sub"),
+        get("ZZ")["i"].alias("absent"),
+    )
+
+
+# --- ranks, q-grams, bits
+
+
+@query(
+    f"""{DOCS}, s AS (SELECT doc_id, left(s, 60) AS s FROM d),
+p AS (SELECT doc_id, s, unnest(range(1, greatest(length(s) - 7, 0) + 1)) AS p FROM s),
+c AS (SELECT doc_id, p, list_sum(list_transform(range(0, 8), lambda j: CAST(instr('ACGT', substr(s, p + j, 1)) - 1 AS BIGINT) << (2 * (7 - j)))) AS g FROM p)
+SELECT CAST(g AS BIGINT) AS qgram, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY 1"""
+)
+def qgram_counts(spark, sf_dir):
+    ranks = RankTransform("ACGT")
+    short = dna_of(spark, sf_dir).select(F.left("s", F.lit(60)).alias("s"))
+    return short.select(F.explode(ranks.qgrams(8, F.col("s"))).alias("qgram")).groupBy("qgram").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""{DOCS}, s AS (SELECT doc_id, left(s, 60) AS s FROM d WHERE s <> ''),
+v AS (SELECT doc_id, list_transform(string_split(s, ''), lambda c: instr('ACGT', c) - 1) AS v FROM s)
+SELECT doc_id, CAST(list_sum(v) AS BIGINT) AS rank_sum, CAST(ceil(len(v) / 10.0) AS BIGINT) AS n_blocks,
+  CAST(list_sum(list_transform(range(0, least(10, len(v))), lambda k: CAST(v[k + 1] AS BIGINT) << (3 * k))) AS BIGINT) AS first_block,
+  CAST(v[13] AS BIGINT) AS twelfth, true AS same FROM v"""
+)
+def bit_packing(spark, sf_dir):
+    enc, ranks = BitEncoding(3), RankTransform("TGCA")
+    rows = dna_of(spark, sf_dir).select("doc_id", ranks.transform(F.left("s", F.lit(60))).alias("v")).where("size(v) > 0")
+    rows = rows.select("doc_id", "v", enc.pack(F.col("v")).alias("b"), F.size("v").alias("n"))
+    b, n = F.col("b"), F.col("n")
+    return rows.select(
+        "doc_id",
+        F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).alias("rank_sum"),
+        enc.blocks_for(n).alias("n_blocks"),
+        b[0].alias("first_block"),
+        enc.get(b, n, F.lit(12)).alias("twelfth"),
+        (enc.unpack(b, n) == F.col("v").cast("array<bigint>")).alias("same"),
+    )
+
+
+# --- distances
+
+
+@query(
+    f"""WITH b AS (SELECT item_id, left({DNA}, 40) AS s FROM benchmark), p AS (SELECT item_id, s FROM b WHERE length(s) = 40)
+SELECT x.item_id AS a, y.item_id AS b, CAST(hamming(x.s, y.s) AS INTEGER) AS hamming, CAST(levenshtein(x.s, y.s) AS INTEGER) AS levenshtein,
+  CAST(CASE WHEN levenshtein(x.s, y.s) <= 20 THEN levenshtein(x.s, y.s) END AS INTEGER) AS bounded
+FROM p x JOIN p y ON x.item_id < y.item_id AND x.item_id % 8 = y.item_id % 8"""
+)
+def edit_distances(spark, sf_dir):
+    """Distances inside blocks of items: an equi-join on the block, never all pairs of the table."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 8).alias("block"), F.left(derived_dna(F.col("text")), F.lit(40)).alias("s")).where("length(s) = 40")
+    x, y = rows.select("block", F.col("item_id").alias("a"), F.col("s").alias("x")), rows.select("block", F.col("item_id").alias("b"), F.col("s").alias("y"))
+    a, b = F.col("x"), F.col("y")
+    return x.join(y, "block").where("a < b").select("a", "b", distance.hamming(a, b).alias("hamming"), distance.levenshtein(a, b).alias("levenshtein"), distance.bounded_levenshtein(a, b, 20).alias("bounded"))
+
+
+# --- matching
+
+
+@query(
+    f"""{DOCS}, m AS (SELECT unnest(['ACGTACGT', 'GAAA', 'CCC']) AS pattern),
+p AS (SELECT doc_id, pattern, s, unnest(range(1, greatest(length(s) - length(pattern) + 2, 1))) AS i FROM d, m WHERE contains(s, pattern))
+SELECT doc_id, pattern, CAST(i - 1 AS INTEGER) AS position FROM p WHERE substr(s, i, length(pattern)) = pattern"""
+)
+def find_all(spark, sf_dir):
+    found = matching.find_patterns(dna_of(spark, sf_dir), "s", ["ACGTACGT", "GAAA", "CCC"])
+    return found.select("doc_id", "pattern", F.col("position").cast("int").alias("position"))
+
+
+@query(f"{DOCS} SELECT doc_id, contains(s, 'GAAAC') AS has, CAST(len(list_filter(range(1, length(s) + 1), lambda i: substr(s, i, 2) = 'CC')) AS INTEGER) AS n FROM d")
+def match_counts(spark, sf_dir):
+    s = F.col("s")
+    return dna_of(spark, sf_dir).select("doc_id", matching.contains(s, "GAAAC").alias("has"), matching.count(s, "CC").alias("n"))
+
+
+# --- reading frames
+
+
+@query(
+    f"""{DOCS}, p AS (SELECT doc_id, p, substr(s, p + 1, 3) AS codon FROM (SELECT doc_id, s, unnest(range(0, greatest(length(s) - 2, 0))) AS p FROM d)),
+k AS (SELECT * FROM p WHERE codon IN ('ATG', 'TGA', 'TAG', 'TAA')),
+w AS (SELECT *, min(CASE WHEN codon <> 'ATG' THEN p END) OVER (PARTITION BY doc_id, p % 3 ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM k)
+SELECT doc_id, CAST(p AS BIGINT) AS start, CAST(stop + 3 AS BIGINT) AS "end", CAST(p % 3 AS TINYINT) AS "offset" FROM w WHERE codon = 'ATG' AND stop + 1 - p > 30"""
+)
+def orfs(spark, sf_dir):
+    return orf.find_orfs(dna_of(spark, sf_dir), "s", ["ATG"], ["TGA", "TAG", "TAA"], 30).select("doc_id", "start", "end", "offset")
+
+
+# --- full-text index
+
+SA_SQL = f"""{SHORT}, s AS (SELECT item_id, t, unnest(range(0, length(t))) AS p FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY substr(t, p + 1)) - 1 AS r, CASE WHEN p = 0 THEN right(t, 1) ELSE substr(t, p, 1) END AS c FROM s)"""
+
+
+def _indexed(spark, sf_dir):
+    rows = short_texts(spark, sf_dir).withColumn("sa", fulltext.suffix_array("t"))
+    return rows.withColumn("bwt", fulltext.bwt(F.col("t"), F.col("sa")))
+
+
+@query(
+    f"""{SA_SQL}, l AS (SELECT item_id, t, r, p, lag(p) OVER (PARTITION BY item_id ORDER BY r) AS q FROM r)
+SELECT item_id, CAST(r AS INTEGER) AS r, CAST(p AS BIGINT) AS pos,
+  CAST(CASE WHEN q IS NULL THEN -1 ELSE len(list_filter(range(1, length(t)), lambda k: substr(t, p + 1, k) = substr(t, q + 1, k) AND p + k <= length(t) AND q + k <= length(t))) END AS BIGINT) AS lcp FROM l"""
+)
+def suffix_arrays(spark, sf_dir):
+    rows = _indexed(spark, sf_dir).withColumn("lcp", fulltext.lcp("t", "sa"))
+    both = F.arrays_zip(F.col("sa").alias("pos"), F.slice("lcp", 1, F.size("sa")).alias("lcp"))
+    return rows.select("item_id", F.posexplode(both).alias("r", "x")).select("item_id", "r", F.col("x.pos").alias("pos"), F.col("x.lcp").alias("lcp"))
+
+
+@query(
+    f"""{SA_SQL}, w AS (SELECT item_id, any_value(t) AS t, string_agg(c, '' ORDER BY r) AS bwt FROM r GROUP BY item_id)
+SELECT item_id, bwt, t AS inverted, CAST(length(t) - length(replace(left(bwt, 21), 'G', '')) - length(t) + 21 AS BIGINT) AS occ_g,
+  CAST(1 + length(t) - length(replace(t, 'A', '')) AS BIGINT) AS less_c FROM w WHERE length(t) > 21"""
+)
+def bwt_index(spark, sf_dir):
+    rows = _indexed(spark, sf_dir).where("length(t) > 21")
+    return rows.select(
+        "item_id",
+        "bwt",
+        fulltext.invert_bwt("bwt").alias("inverted"),
+        fulltext.occ(F.col("bwt"), F.lit(20), F.lit("G")).alias("occ_g"),
+        F.element_at(fulltext.less(F.col("bwt")), ord("C") + 1).alias("less_c"),
+    )
+
+
+@query(
+    f"""{SHORT}, q AS (SELECT unnest(['ACG', 'TTGA', 'GGGGCCCC', '']) AS pattern),
+k AS (SELECT item_id, t, pattern, list_max(list_filter(range(1, length(pattern) + 1), lambda k: contains(t, right(pattern, k)))) AS len FROM b, q),
+o AS (SELECT *, CASE WHEN len IS NULL THEN 'absent' WHEN len = length(pattern) THEN 'complete' ELSE 'partial' END AS kind FROM k)
+SELECT item_id, pattern, kind, CAST(CASE WHEN kind = 'partial' THEN len END AS INTEGER) AS len,
+  list_sort(list_filter(range(0, length(t)), lambda p: len IS NOT NULL AND substr(t, p + 1, len) = right(pattern, len))) AS positions FROM o"""
+)
+def fm_search(spark, sf_dir):
+    rows = _indexed(spark, sf_dir).select("item_id", "sa", "bwt", F.explode(F.array(*map(F.lit, ("ACG", "TTGA", "GGGGCCCC", "")))).alias("pattern"))
+    rows = rows.withColumn("hit", fulltext.backward_search(F.col("bwt"), F.col("pattern")))
+    found = F.coalesce(F.sort_array(fulltext.occurrences(F.col("sa"), F.col("hit"))), F.array().cast("array<bigint>"))
+    return rows.select("item_id", "pattern", F.col("hit.kind").alias("kind"), F.col("hit.len").alias("len"), found.alias("positions"))
+
+
+# --- files
+
+
+def _reads(spark, sf_dir):
+    """Reads with names and qualities from documents."""
+    s = F.col("s")
+    return dna_of(spark, sf_dir).where("length(s) > 0").select(
+        F.concat(F.lit("doc"), F.col("doc_id"), F.lit(" from documents")).alias("name"), s.alias("seq"), F.translate(s, "ACGT", "@I5+").alias("qual")
+    )
+
+
+@query(f"{DOCS} SELECT 'doc' || doc_id || ' from documents' AS name, md5(s) AS seq, CAST(length(s) AS INTEGER) AS n FROM d WHERE s <> ''")
+def fasta_round_trip(spark, sf_dir):
+    path = fresh(spark, "reads.fa")
+    fastx.write_fasta(_reads(spark, sf_dir), path, width=60)
+    return fastx.read_fasta(spark, path).select("name", F.md5("seq").alias("seq"), F.length("seq").alias("n"))
+
+
+@query(f"{DOCS} SELECT 'doc' || doc_id || ' from documents' AS name, md5(s) AS seq, md5(translate(s, 'ACGT', '@I5+')) AS qual FROM d WHERE s <> ''")
+def fastq_round_trip(spark, sf_dir):
+    path = fresh(spark, "reads.fq")
+    fastx.write_fastq(_reads(spark, sf_dir), path, line_ending="\r\n")
+    return fastx.read_fastx(spark, path).select("name", F.md5("seq").alias("seq"), F.md5("qual").alias("qual"))
+
+
+@query(
+    f"""{DOCS} SELECT 'doc' || doc_id AS name, CAST(length(s) AS BIGINT) AS length, CAST(least(length(s), 60) AS BIGINT) AS line_base, CAST(least(length(s), 60) + 1 AS BIGINT) AS line_width,
+  md5(s) AS fetched FROM d WHERE s <> ''"""
+)
+def fasta_index(spark, sf_dir):
+    """One file is indexed, its index written and read again, and every sequence fetched by it."""
+    path, fai = fresh(spark, "one.fa"), fresh(spark, "one.fai")
+    fastx.write_fasta(_reads(spark, sf_dir).coalesce(1), path, width=60)
+    fastx.write_index(fastx.scan_index(spark, path), fai)
+    index = fastx.read_index(spark, fai)
+    got = fastx.fetch(spark, f"{path}/part-*", index).select("name", F.md5("seq").alias("fetched"))
+    return index.select("name", "length", "line_base", "line_width").join(got, "name")
+
+
+@query(
+    f"""{DOCS} SELECT 'doc' || doc_id AS name, CAST(length(s) AS BIGINT) AS length, CAST(length(s) + 3 AS BIGINT) AS gap, md5(s) AS seq, md5(translate(s, 'ACGT', '@I5+')) AS qual FROM d WHERE s <> ''"""
+)
+def fastq_index(spark, sf_dir):
+    path, fai = fresh(spark, "one.fq"), fresh(spark, "one.fqi")
+    fastx.write_fastq(_reads(spark, sf_dir).coalesce(1), path)
+    fastx.write_index(fastx.scan_index(spark, path), fai)
+    index = fastx.read_index(spark, fai, fastq=True)
+    got = fastx.fetch(spark, f"{path}/part-*", index).select("name", F.md5("seq").alias("seq"), F.md5("qual").alias("qual"))
+    return index.select("name", "length", (F.col("qual_offset") - F.col("offset")).alias("gap")).join(got, "name")
+
+
+REFS = [("ref1", 45), ("ref2", 40), ("ref1", 50)]
+HEADER = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in REFS) + "@RG\tID:a:b\tSM:x\n@PG\tID:p\n@CO\ta comment\n"
+
+
+def _alignments(spark, sf_dir):
+    """Alignments from line items, without repeats of their names."""
+    k, n = F.col("l_partkey"), F.col("l_linenumber")
+    name = F.concat(F.col("l_orderkey"), F.lit("/"), n)
+    rname = F.when(k % 5 == 0, "*").when(k % 5 == 1, "ref2").when(k % 5 == 2, "nowhere").otherwise("ref1")
+    rnext = F.when(k % 3 == 0, "=").when(k % 3 == 1, "*").otherwise("ref2")
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select(
+        name.alias("qname"), (k % 4096).cast("int").alias("flag"), rname.alias("rname"), (k % 1000).alias("pos"), (k % 60).cast("smallint").alias("mapq"),
+        F.concat(n, F.lit("M2S")).alias("cigar"), rnext.alias("rnext"), (k % 7).alias("pnext"), (-(k % 90)).alias("tlen"),
+        F.repeat(F.lit("G"), n + 2).alias("seq"), F.when(k % 2 == 0, "").otherwise(F.repeat(F.lit("5"), n + 2)).alias("qual"),
+    )
+
+
+ALIGNED_SQL = """WITH l AS (SELECT l_orderkey || '/' || l_linenumber AS qname, l_partkey AS k, l_linenumber AS n FROM lineitem),
+a AS (SELECT qname, k, n, CASE WHEN k % 5 = 1 THEN 1 WHEN k % 5 IN (0, 2) THEN -1 ELSE 2 END AS tid FROM l),
+m AS (SELECT *, CASE WHEN k % 3 = 0 THEN tid WHEN k % 3 = 1 THEN -1 ELSE 1 END AS mtid FROM a)"""
+
+
+@query(
+    f"""{ALIGNED_SQL} SELECT qname, CAST(k % 4096 AS INTEGER) AS flag, CAST(tid AS INTEGER) AS tid, CAST(mtid AS INTEGER) AS mtid, CAST(k % 1000 AS BIGINT) AS pos,
+  n || 'M2S' AS cigar, repeat('G', n + 2) AS seq, CASE WHEN k % 2 = 1 THEN 20 END AS phred, CAST(k AS BIGINT) AS nm FROM m"""
+)
+def sam_round_trip(spark, sf_dir):
+    star = lambda c: F.when(F.col(c) == "", "*").otherwise(F.col(c))
+    rows = _alignments(spark, sf_dir)
+    nm = table(spark, sf_dir, "lineitem").select(F.concat("l_orderkey", F.lit("/"), "l_linenumber").alias("qname"), "l_partkey")
+    line = F.concat_ws("\t", *(star(c).cast("string") if c == "qual" else F.col(c).cast("string") for c in sam.COLUMNS), F.concat(F.lit("NM:i:"), F.col("l_partkey")))
+    body = rows.join(nm, "qname").select(line.alias("value"))
+    path = fresh(spark, "a.sam")
+    head = spark.createDataFrame([(HEADER.rstrip("\n"),)], "value string")
+    head.coalesce(1).write.text(path)
+    body.write.mode("append").text(path)
+    got = sam.read_sam(spark, path)
+    phred = F.when(F.col("qual") != "", af.phred_at(F.col("qual"), F.lit(0)))
+    return got.select("qname", "flag", "tid", "mtid", "pos", "cigar", "seq", phred.alias("phred"), af.aux_get(af.aux_fields(F.col("aux")), "NM")["i"].alias("nm"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('ref', 'ref1', CAST(45 AS BIGINT)), ('ref', 'ref2', 40), ('ref', 'ref1', 50), ('tid', 'ref1', 2), ('tid', 'ref2', 1),
+  ('group', 'a:b', 1), ('program', 'p', 1), ('comment', 'a comment', 1), ('order', 'coordinate/none', 6)) t(kind, name, n)"""
+)
+def sam_header(spark, sf_dir):
+    from strandlake.operators.dictionary import by_name
+
+    path = fresh(spark, "h.sam")
+    spark.createDataFrame([(HEADER.rstrip("\n"),)], "value string").coalesce(1).write.text(path)
+    h = sam.read_header(spark, path)
+    one = F.lit(1).cast("long")
+    parts = [
+        h.refs().select(F.lit("ref").alias("kind"), "name", F.col("len").alias("n")),
+        by_name(h.refs()).select(F.lit("tid").alias("kind"), "name", F.col("tid").cast("long").alias("n")),
+        h.read_groups().select(F.lit("group").alias("kind"), sam.tag("tags", "ID").alias("name"), one.alias("n")),
+        h.programs().select(F.lit("program").alias("kind"), sam.tag("tags", "ID").alias("name"), one.alias("n")),
+        h.comments().select(F.lit("comment").alias("kind"), F.col("text").alias("name"), one.alias("n")),
+        h.version().select(F.lit("order").alias("kind"), F.concat_ws("/", "sort_order", "group_order").alias("name"), F.col("minor").cast("long").alias("n")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(
+    f"""{ALIGNED_SQL} SELECT qname, CAST(k % 4096 AS INTEGER) AS flag, CAST(tid AS INTEGER) AS tid, CAST(k % 1000 AS BIGINT) AS pos, n || 'M2S' AS cigar,
+  repeat('G', n + 2) AS seq, CASE WHEN k % 2 = 1 THEN repeat('5', n + 2) ELSE '' END AS qual, CAST(-(k % 90) AS BIGINT) AS tlen FROM m"""
+)
+def bam_round_trip(spark, sf_dir):
+    from strandlake.operators.dictionary import resolve
+
+    refs = spark.createDataFrame([(k, n, size) for k, (n, size) in enumerate(REFS)], "tid int, name string, len bigint")
+    rows = resolve(_alignments(spark, sf_dir), refs)
+    path = fresh(spark, "a.bam")
+    bam.write_bam(bam.packed_rows(rows), path, HEADER, REFS)
+    got = bam.read_written(spark, path)
+    seq = af.packed_bases(F.col("seq_packed"), F.col("l_seq"))
+    text = F.array_join(F.transform(F.split(F.rtrim(F.regexp_replace(F.hex("qual_raw"), "(..)", "$1 ")), " "), lambda h: F.chr(F.conv(h, 16, 10).cast("int") + 33)), "")
+    qual = F.when(af.quality_unavailable(F.col("qual_raw")), "").otherwise(text)
+    return got.select("qname", "flag", "tid", "pos", "cigar", seq.alias("seq"), qual.alias("qual"), "tlen")
+
+
+# --- alignment
+
+
+def _pairs(spark, sf_dir):
+    rows = short_texts(spark, sf_dir).select("item_id", F.rtrim(F.lit("$"), "t").alias("t"))
+    return rows.select(F.col("item_id").alias("a"), F.col("t").alias("x"), (F.col("item_id") + 1).alias("b")).join(rows.select(F.col("item_id").alias("b"), F.col("t").alias("y")), "b")
+
+
+@query()
+def pairwise_alignment(spark, sf_dir):
+    """Scores and lengths of the four modes for neighbouring items; goldens and brute force are in the tests."""
+    scoring = align.Scoring(-5, -1, align.MatchScore(1, -1)).yclip(-4)
+    rows = _pairs(spark, sf_dir)
+    for mode in ("global", "semiglobal", "local", "custom"):
+        rows = rows.withColumn(mode, align.alignment(scoring, mode)("x", "y"))
+    return rows.select("a", "b", *(F.col(f"{m}.score").alias(f"{m}_score") for m in ("global", "semiglobal", "local", "custom")), F.size("local.operations").alias("local_ops"))
+
+
+@query()
+def protein_alignment(spark, sf_dir):
+    """Local alignment of prose under PAM 120."""
+    scoring = align.Scoring(-10, -1, align.FunctionScore(matrices.pam(120).by_code))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.left(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), F.lit(48)).alias("t"))
+    pairs = rows.select(F.col("item_id").alias("a"), F.col("t").alias("x"), (F.col("item_id") + 1).alias("b")).join(rows.select(F.col("item_id").alias("b"), F.col("t").alias("y")), "b")
+    return pairs.select("a", "b", align.alignment(scoring, "local")("x", "y").alias("r")).select("a", "b", "r.score", "r.xstart", "r.xend", "r.ystart", "r.yend")
+
+
+@query()
+def substitution_scores(spark, sf_dir):
+    """The PAM family as a table."""
+    rows = [(f"pam{n}", a, b, m.score(a, b)) for n in (40, 120, 200, 250) for m in (matrices.pam(n),) for a in m.letters for b in m.letters]
+    return spark.createDataFrame(rows, "matrix string, a string, b string, score int")
