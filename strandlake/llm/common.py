@@ -30,10 +30,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: its lineage is cut, and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/strandlake/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    return Scratch(df.sparkSession)(df, name)
+
+
+class Scratch:
+    """Stored tables that go when the block ends; what a result still needs has to be stored by ``stored``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/strandlake/{name}-{uuid.uuid4().hex}"
+        schema = df.schema
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        self.paths = []
 
 
 def in_fold(doc_id: Column) -> Column:

@@ -22,6 +22,7 @@ row; other columns stay as they are (n_lines and n_dropped are replaced); an emp
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import ASCII_UPPER, stored, utf8
+from .common import ASCII_UPPER, Scratch, stored, utf8
 
 MIN_DOCS, MIN_LENGTH = 3, 20
 #: Keys that a shard's filter is meant for; there are as many shards as that needs.
@@ -159,12 +160,13 @@ class LineIndex:
     min_length: int = MIN_LENGTH
 
     @classmethod
-    def build(cls, docs: DataFrame, min_docs: int = MIN_DOCS, min_length: int = MIN_LENGTH) -> LineIndex:
-        postings = stored(cls._keys(docs, min_length).distinct(), "line-postings")
-        refs = stored(cls._counted(postings), "line-refs")
+    def build(cls, docs: DataFrame, min_docs: int = MIN_DOCS, min_length: int = MIN_LENGTH, keep: Callable = stored) -> LineIndex:
+        """keep stores the tables: for good, or by a Scratch for as long as its block lasts."""
+        postings = keep(cls._keys(docs, min_length).distinct(), "line-postings")
+        refs = keep(cls._counted(postings), "line-refs")
         often = refs.where(F.col("n_docs") >= min_docs)
         shards = max(1, -(-often.count() // SHARD_KEYS))
-        return cls(postings, refs, cls._updated(often.limit(0), often, None, shards), shards, min_docs, min_length)
+        return cls(postings, refs, cls._updated(often.limit(0), often, None, shards, keep), shards, min_docs, min_length)
 
     @staticmethod
     def _keys(docs: DataFrame, min_length: int) -> DataFrame:
@@ -176,7 +178,7 @@ class LineIndex:
         return postings.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
 
     @staticmethod
-    def _updated(gone: DataFrame, come: DataFrame, filters: DataFrame | None, shards: int) -> DataFrame:
+    def _updated(gone: DataFrame, come: DataFrame, filters: DataFrame | None, shards: int, keep: Callable = stored) -> DataFrame:
         """The shards' filters without the keys gone and with those come."""
         change = come.select(*KEY, F.lit(True).alias("add")).unionByName(gone.select(*KEY, F.lit(False).alias("add")))
         change = change.withColumn("shard", F.pmod(F.shiftright("h1", 40), F.lit(shards)))
@@ -205,7 +207,7 @@ class LineIndex:
                 return pd.DataFrame({"shard": [key[0]], "bits": [bits]})
 
             out = filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(again, "shard long, bits binary")
-        return stored(out, "line-filters")
+        return keep(out, "line-filters")
 
     def _changed(self, postings: DataFrame, counts: DataFrame) -> LineIndex:
         """The index with other postings; counts: the new refs of all keys that differ (0: gone)."""
@@ -263,35 +265,41 @@ class LineIndex:
         lost = self._probed(postings).join(often, KEY).where("doc_id <> max_doc")
         return lost.groupBy("doc_id").agg(F.collect_list(F.struct(*KEY)).alias("drop"))
 
-    def apply(self, docs: DataFrame, postings: DataFrame | None = None) -> DataFrame:
-        """docs with text rewritten, n_lines and n_dropped. postings: those of docs, if known."""
-        docs = docs.drop("n_lines", "n_dropped")
-        drop = self.decisions(postings if postings is not None else self._keys(docs, self.min_length))
-        names = docs.columns
-        marked = docs.join(drop.select(F.col("doc_id").alias("_drop_doc"), F.col("drop").alias("_drop_keys")), F.col("doc_id") == F.col("_drop_doc"), "left").drop("_drop_doc")
-        at, min_length = names.index("text"), self.min_length
+    def apply(self, docs: DataFrame) -> DataFrame:
+        """docs with text rewritten, n_lines and n_dropped."""
+        return rewritten(docs, self.decisions(self._keys(docs, self.min_length)), self.min_length)
 
-        def rows(batches):
-            for batch in batches:
-                texts, n, dropped = [], [], []
-                for text, drop in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
-                    n.append(text.count("\n") + 1 if text else 1)
-                    if text and drop:
-                        gone = {np.array([d["h1"], d["h2"]], np.int64).tobytes() for d in drop}
-                        kept = [line for line, key in zip(text.split("\n"), line_keys(text, min_length)) if key not in gone]
-                        texts.append("\n".join(kept))
-                        dropped.append(n[-1] - len(kept))
-                    else:
-                        texts.append(text)
-                        dropped.append(0)
-                cols = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
-
-        schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
-        return marked.mapInArrow(rows, schema)
+
+def rewritten(docs: DataFrame, drop: DataFrame, min_length: int) -> DataFrame:
+    """docs without the lines of the keys in drop (doc_id, drop), with n_lines and n_dropped."""
+    docs = docs.drop("n_lines", "n_dropped")
+    names = docs.columns
+    marked = docs.join(drop.select(F.col("doc_id").alias("_drop_doc"), F.col("drop").alias("_drop_keys")), F.col("doc_id") == F.col("_drop_doc"), "left").drop("_drop_doc")
+    at = names.index("text")
+
+    def rows(batches):
+        for batch in batches:
+            texts, n, dropped = [], [], []
+            for text, drop in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
+                n.append(text.count("\n") + 1 if text else 1)
+                if text and drop:
+                    gone = {np.array([d["h1"], d["h2"]], np.int64).tobytes() for d in drop}
+                    kept = [line for line, key in zip(text.split("\n"), line_keys(text, min_length)) if key not in gone]
+                    texts.append("\n".join(kept))
+                    dropped.append(n[-1] - len(kept))
+                else:
+                    texts.append(text)
+                    dropped.append(0)
+            cols = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+
+    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
+    return marked.mapInArrow(rows, schema)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_length: int = MIN_LENGTH) -> DataFrame:
-    """Builds an index of docs and applies it to them."""
-    index = LineIndex.build(docs, min_docs, min_length)
-    return index.apply(docs, index.postings)
+    """Builds an index of docs and applies it to them; only its decisions outlive the call."""
+    with Scratch(docs.sparkSession) as scratch:
+        index = LineIndex.build(docs, min_docs, min_length, scratch)
+        drop = stored(index.decisions(index.postings), "line-decisions")
+    return rewritten(docs, drop, min_length)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, may_learn, stored
+from .common import Scratch, in_fold, may_learn
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 8000, 16000
 #: A term occurs in so many toxic documents of the sample at least: this share, and this number.
@@ -183,10 +183,15 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float =
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    with Scratch(docs.sparkSession) as scratch:
+        return _fit(docs, labels, scratch)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     known = labels.where(F.col("toxic").isin(0, 1) & may_learn(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     ids = known.where("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(known.where("toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN))
-    sample = stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text"), "toxicity-sample")
+    sample = scratch(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text"), "toxicity-sample")
     size = dict(sample.groupBy("toxic").count().collect())
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
