@@ -15,7 +15,18 @@ SPACE = "\\x20\\x09-\\x0D"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Rows that go to a Python worker at once, unless the session sets its own number: texts can be long.
+ARROW_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # the default
+        spark.conf.set(key, ARROW_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +49,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
+        small_batches(spark)
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{shared_dir(self.spark)}/strandlake/{name}-{uuid.uuid4().hex}"
