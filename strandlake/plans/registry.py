@@ -312,9 +312,9 @@ def edit_distances(spark, sf_dir):
 
 
 @query(
-    f"""{DOCS}, m AS (SELECT unnest(['ACGTACGT', 'GAAA', 'CCC']) AS pattern),
-p AS (SELECT doc_id, pattern, s, unnest(range(1, greatest(length(s) - length(pattern) + 2, 1))) AS i FROM d, m WHERE contains(s, pattern))
-SELECT doc_id, pattern, CAST(i - 1 AS INTEGER) AS position FROM p WHERE substr(s, i, length(pattern)) = pattern"""
+    f"""{DOCS}, c AS (SELECT doc_id, unnest(range(0, length(s))) AS p, unnest(string_split(s, '')) AS c FROM d WHERE s <> ''),
+w AS (SELECT doc_id, p, string_agg(c, '') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS w FROM c)
+SELECT doc_id, pattern, CAST(p AS INTEGER) AS position FROM w, (SELECT unnest(['ACGTACGT', 'GAAA', 'CCC']) AS pattern) WHERE starts_with(w, pattern)"""
 )
 def find_all(spark, sf_dir):
     found = matching.find_patterns(dna_of(spark, sf_dir), "s", ["ACGTACGT", "GAAA", "CCC"])
@@ -331,7 +331,8 @@ def match_counts(spark, sf_dir):
 
 
 @query(
-    f"""{DOCS}, p AS (SELECT doc_id, p, substr(s, p + 1, 3) AS codon FROM (SELECT doc_id, s, unnest(range(0, greatest(length(s) - 2, 0))) AS p FROM d)),
+    f"""{DOCS}, c AS (SELECT doc_id, unnest(range(0, length(s))) AS p, unnest(string_split(s, '')) AS c FROM d WHERE s <> ''),
+p AS (SELECT doc_id, p, c || lead(c, 1) OVER w || lead(c, 2) OVER w AS codon FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
 k AS (SELECT * FROM p WHERE codon IN ('ATG', 'TGA', 'TAG', 'TAA')),
 w AS (SELECT *, min(CASE WHEN codon <> 'ATG' THEN p END) OVER (PARTITION BY doc_id, p % 3 ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM k)
 SELECT doc_id, CAST(p AS BIGINT) AS start, CAST(stop + 3 AS BIGINT) AS "end", CAST(p % 3 AS TINYINT) AS "offset" FROM w WHERE codon = 'ATG' AND stop + 1 - p > 30"""

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,16 +174,23 @@ def write_index(index: DataFrame, path: str) -> None:
 def fetch(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
     """(name, seq, qual) at the places that an index (of one file) gives, without parsing the file.
 
-    Line ends inside a sequence are as many bytes as the index says.
+    Line ends inside a sequence are as many bytes as the index says. The index goes to the task that
+    holds the file, as one array; it has a few numbers for each record of that file.
     """
-    content = spark.read.format("binaryFile").load(path).select("content")
-
-    def cut(offset: str) -> Column:
-        ends = F.when(F.col("line_base") > 0, F.floor((F.greatest(F.col("length"), F.lit(1)) - 1) / F.nullif(F.col("line_base"), F.lit(0)))).otherwise(0)
-        span = F.col("length") + ends * (F.col("line_width") - F.col("line_base"))
-        raw = F.substring(F.col("content"), (F.col(offset) + 1).cast("int"), span.cast("int"))
-        return F.translate(F.decode(raw, "UTF-8"), "\r\n", "")
-
     own = index if "qual_offset" in index.columns else index.withColumn("qual_offset", F.lit(None).cast("bigint"))
-    one = own.withColumn("_file", F.lit(0)).join(F.broadcast(content.limit(1).withColumn("_file", F.lit(0))), "_file")
-    return one.select("name", cut("offset").alias("seq"), F.when(F.col("qual_offset").isNotNull(), cut("qual_offset")).alias("qual"))
+    places = own.agg(F.collect_list(F.struct(*INDEX)).alias("places")).withColumn("_file", F.lit(0))
+    files = spark.read.format("binaryFile").load(path).select("content").limit(1).withColumn("_file", F.lit(0))
+
+    def cut(data: bytes, at: int, p) -> str:
+        n, base, width = p["length"], p["line_base"], p["line_width"]
+        ends = (n - 1) // base if n and base else 0
+        return data[at : at + n + ends * (width - base)].translate(None, b"\r\n").decode()
+
+    def rows(frames):
+        for pdf in frames:
+            for data, places in zip(pdf.content, pdf.places):
+                data = bytes(data)
+                out = [(p["name"], cut(data, p["offset"], p), None if p["qual_offset"] is None else cut(data, p["qual_offset"], p)) for p in places]
+                yield pd.DataFrame(out, columns=["name", "seq", "qual"], dtype=object)
+
+    return files.join(places, "_file").select("content", "places").mapInPandas(rows, SEQUENCES)
