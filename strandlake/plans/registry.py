@@ -459,6 +459,7 @@ def _alignments(spark, sf_dir):
         name.alias("qname"), (k % 4096).cast("int").alias("flag"), rname.alias("rname"), (k % 1000).alias("pos"), (k % 60).cast("smallint").alias("mapq"),
         F.concat(n, F.lit("M2S")).alias("cigar"), rnext.alias("rnext"), (k % 7).alias("pnext"), (-(k % 90)).alias("tlen"),
         F.repeat(F.lit("G"), n + 2).alias("seq"), F.when(k % 2 == 0, "").otherwise(F.repeat(F.lit("5"), n + 2)).alias("qual"),
+        k.alias("nm"),
     )
 
 
@@ -474,9 +475,8 @@ m AS (SELECT *, CASE WHEN k % 3 = 0 THEN tid WHEN k % 3 = 1 THEN -1 ELSE 1 END A
 def sam_round_trip(spark, sf_dir):
     star = lambda c: F.when(F.col(c) == "", "*").otherwise(F.col(c))
     rows = _alignments(spark, sf_dir)
-    nm = table(spark, sf_dir, "lineitem").select(F.concat("l_orderkey", F.lit("/"), "l_linenumber").alias("qname"), "l_partkey")
-    line = F.concat_ws("\t", *(star(c).cast("string") if c == "qual" else F.col(c).cast("string") for c in sam.COLUMNS), F.concat(F.lit("NM:i:"), F.col("l_partkey")))
-    body = rows.join(nm, "qname").select(line.alias("value"))
+    line = F.concat_ws("\t", *(star(c).cast("string") if c == "qual" else F.col(c).cast("string") for c in sam.COLUMNS), F.concat(F.lit("NM:i:"), F.col("nm")))
+    body = rows.select(line.alias("value"))
     path = fresh(spark, "a.sam")
     head = spark.createDataFrame([(HEADER.rstrip("\n"),)], "value string")
     head.coalesce(1).write.text(path)
@@ -533,7 +533,7 @@ def bam_round_trip(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    rows = short_texts(spark, sf_dir).select("item_id", F.rtrim(F.lit("$"), "t").alias("t"))
+    rows = short_texts(spark, sf_dir).select("item_id", F.rtrim("t", F.lit("$")).alias("t"))
     return rows.select(F.col("item_id").alias("a"), F.col("t").alias("x"), (F.col("item_id") + 1).alias("b")).join(rows.select(F.col("item_id").alias("b"), F.col("t").alias("y")), "b")
 
 
