@@ -38,11 +38,22 @@ class RankTransform:
         """Packed q-grams from left to right; none for a shorter text. 64-bit patterns may be negative."""
         if q < 1 or q * self.width > 64:
             raise ValueError("q-grams need 1 to 64 bits")
+        return self.packed(q, self.transform(text))
+
+    def packed(self, q: int, ranks: Column) -> Column:
+        """The q-grams of an array of ranks. For long texts the ranks should be a column of their own, so that they are made once."""
         w = self.width
-        ranks = self.transform(text)
         n = F.size(ranks) - q + 1
-        at = F.when(n >= 1, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).when(text.isNotNull(), F.array().cast("array<int>"))
-        return F.transform(at, lambda p: F.aggregate(F.slice(ranks, p, q), F.lit(0).cast("long"), lambda g, r: F.shiftleft(g, w).bitwiseOR(r.cast("long"))))
+        at = F.when(n >= 1, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).when(ranks.isNotNull(), F.array().cast("array<int>"))
+        get = lambda p, j: F.shiftleft(F.get(ranks, p - 1 + j).cast("long"), w * (q - 1 - j))
+
+        def gram(p: Column) -> Column:
+            out = get(p, 0)
+            for j in range(1, q):
+                out = out.bitwiseOR(get(p, j))
+            return out
+
+        return F.transform(at, gram)
 
 
 @dataclass(frozen=True)

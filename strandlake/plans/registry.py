@@ -49,12 +49,12 @@ def dna_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 AZ = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DNA = f"translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{AZ}', '{'ACGT' * 13}')"
 DOCS = f"WITH d AS (SELECT doc_id, {DNA} AS s FROM documents)"
-#: Starts of benchmark items as short texts with an end mark.
-SHORT = f"WITH b AS (SELECT item_id, left({DNA}, 48) || '$' AS t FROM benchmark)"
+#: Benchmark items as texts with an end mark.
+SHORT = f"WITH b AS (SELECT item_id, {DNA} || '$' AS t FROM benchmark)"
 
 
 def short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.left(derived_dna(F.col("text")), F.lit(48)), F.lit("$")).alias("t"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.concat(derived_dna(F.col("text")), F.lit("$")).alias("t"))
 
 
 # --- aggregates
@@ -123,7 +123,7 @@ def base_composition(spark, sf_dir):
 @query(
     f"""{DOCS}
 SELECT doc_id, md5(translate(s, 'ACGT', 'TGCA')) AS complement, md5(reverse(translate(s, 'ACGT', 'TGCA'))) AS revcomp,
-  reverse(translate(left(text, 40), 'acgtrykmswbdhvnxACGTRYKMSWBDHVNX-', 'tgcayrmkswvhdbnxTGCAYRMKSWVHDBNX-')) AS iupac FROM d JOIN documents USING (doc_id)"""
+  md5(reverse(translate(text, 'acgtrykmswbdhvnxACGTRYKMSWBDHVNX-', 'tgcayrmkswvhdbnxTGCAYRMKSWVHDBNX-'))) AS iupac FROM d JOIN documents USING (doc_id)"""
 )
 def reverse_complement(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("s", derived_dna(F.col("text")))
@@ -132,7 +132,7 @@ def reverse_complement(spark, sf_dir):
         "doc_id",
         F.md5(dna.complement(F.col("s"))).alias("complement"),
         F.md5(dna.reverse_complement(F.col("s"))).alias("revcomp"),
-        wide.reverse_complement(F.left("text", F.lit(40))).alias("iupac"),
+        F.md5(wide.reverse_complement(F.col("text"))).alias("iupac"),
     )
 
 
@@ -147,7 +147,7 @@ def first_invalid_letter(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT DISTINCT unnest(string_split(left(text, 200), '')) AS c FROM documents),
+    """WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents),
 n AS (SELECT c, upper(translate(c, 'uU', 'TT')) AS u FROM c WHERE c BETWEEN ' ' AND '~'),
 t AS (SELECT c, CAST(nullif(instr('=ACMGRSVTWYHKDBN', u), 0) - 1 AS INTEGER) AS code, CAST(nullif(instr('ARNDCQEGHILKMFPSTWYVUOBZJX*-', upper(c)), 0) - 1 AS INTEGER) AS amino FROM n)
 SELECT c, code, CAST(CASE WHEN code IS NOT NULL THEN instr('=ACMGRSVTWYHKDBN', substr('=TGKCYSBAWRDMHVN', code + 1, 1)) - 1 END AS INTEGER) AS pair,
@@ -158,7 +158,7 @@ SELECT c, code, CAST(CASE WHEN code IS NOT NULL THEN instr('=ACMGRSVTWYHKDBN', s
 )
 def letter_codes(spark, sf_dir):
     c = F.col("c")
-    letters = table(spark, sf_dir, "documents").select(F.explode(F.split(F.left("text", F.lit(200)), "")).alias("c")).distinct().where("c between ' ' and '~'")
+    letters = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("c")).distinct().where("c between ' ' and '~'")
     code = nucleotide_code(c)
     return letters.select(
         "c",
@@ -258,27 +258,25 @@ def aux_fields(spark, sf_dir):
 
 
 @query(
-    f"""{DOCS}, s AS (SELECT doc_id, left(s, 60) AS s FROM d),
-p AS (SELECT doc_id, s, unnest(range(1, greatest(length(s) - 7, 0) + 1)) AS p FROM s),
-c AS (SELECT doc_id, p, list_sum(list_transform(range(0, 8), lambda j: CAST(instr('ACGT', substr(s, p + j, 1)) - 1 AS BIGINT) << (2 * (7 - j)))) AS g FROM p)
-SELECT CAST(g AS BIGINT) AS qgram, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY 1"""
+    f"""{DOCS}, c AS (SELECT doc_id, unnest(range(0, length(s))) AS p, unnest(list_transform(string_split(s, ''), lambda c: CAST(instr('ACGT', c) - 1 AS BIGINT))) AS r FROM d WHERE s <> ''),
+g AS (SELECT {" + ".join(f"(lead(r, {j}) OVER w << {14 - 2 * j})" for j in range(8))} AS g FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY p))
+SELECT CAST(g AS BIGINT) AS qgram, CAST(count(*) AS BIGINT) AS n FROM g WHERE g IS NOT NULL GROUP BY 1"""
 )
 def qgram_counts(spark, sf_dir):
     ranks = RankTransform("ACGT")
-    short = dna_of(spark, sf_dir).select(F.left("s", F.lit(60)).alias("s"))
-    return short.select(F.explode(ranks.qgrams(8, F.col("s"))).alias("qgram")).groupBy("qgram").agg(F.count("*").alias("n"))
+    grams = dna_of(spark, sf_dir).select(ranks.transform(F.col("s")).alias("r")).select(F.explode(ranks.packed(8, F.col("r"))).alias("qgram"))
+    return grams.groupBy("qgram").agg(F.count("*").alias("n"))
 
 
 @query(
-    f"""{DOCS}, s AS (SELECT doc_id, left(s, 60) AS s FROM d WHERE s <> ''),
-v AS (SELECT doc_id, list_transform(string_split(s, ''), lambda c: instr('ACGT', c) - 1) AS v FROM s)
+    f"""{DOCS}, v AS (SELECT doc_id, list_transform(string_split(s, ''), lambda c: instr('ACGT', c) - 1) AS v FROM d WHERE s <> '')
 SELECT doc_id, CAST(list_sum(v) AS BIGINT) AS rank_sum, CAST(ceil(len(v) / 10.0) AS BIGINT) AS n_blocks,
   CAST(list_sum(list_transform(range(0, least(10, len(v))), lambda k: CAST(v[k + 1] AS BIGINT) << (3 * k))) AS BIGINT) AS first_block,
   CAST(v[13] AS BIGINT) AS twelfth, true AS same FROM v"""
 )
 def bit_packing(spark, sf_dir):
     enc, ranks = BitEncoding(3), RankTransform("TGCA")
-    rows = dna_of(spark, sf_dir).select("doc_id", ranks.transform(F.left("s", F.lit(60))).alias("v")).where("size(v) > 0")
+    rows = dna_of(spark, sf_dir).select("doc_id", ranks.transform(F.col("s")).alias("v")).where("size(v) > 0")
     rows = rows.select("doc_id", "v", enc.pack(F.col("v")).alias("b"), F.size("v").alias("n"))
     b, n = F.col("b"), F.col("n")
     return rows.select(
@@ -295,17 +293,24 @@ def bit_packing(spark, sf_dir):
 
 
 @query(
-    f"""WITH b AS (SELECT item_id, left({DNA}, 40) AS s FROM benchmark), p AS (SELECT item_id, s FROM b WHERE length(s) = 40)
-SELECT x.item_id AS a, y.item_id AS b, CAST(hamming(x.s, y.s) AS INTEGER) AS hamming, CAST(levenshtein(x.s, y.s) AS INTEGER) AS levenshtein,
-  CAST(CASE WHEN levenshtein(x.s, y.s) <= 20 THEN levenshtein(x.s, y.s) END AS INTEGER) AS bounded
-FROM p x JOIN p y ON x.item_id < y.item_id AND x.item_id % 8 = y.item_id % 8"""
+    f"""WITH p AS (SELECT item_id, {DNA} AS s FROM benchmark)
+SELECT x.item_id AS a, y.item_id AS b, CAST(CASE WHEN length(x.s) = length(y.s) THEN hamming(x.s, y.s) END AS INTEGER) AS hamming, CAST(hamming(x.s, reverse(x.s)) AS INTEGER) AS mirror,
+  CAST(levenshtein(x.s, y.s) AS INTEGER) AS levenshtein, CAST(CASE WHEN levenshtein(x.s, y.s) <= 120 THEN levenshtein(x.s, y.s) END AS INTEGER) AS bounded
+FROM p x JOIN p y ON y.item_id = x.item_id + 1"""
 )
 def edit_distances(spark, sf_dir):
-    """Distances inside blocks of items: an equi-join on the block, never all pairs of the table."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 8).alias("block"), F.left(derived_dna(F.col("text")), F.lit(40)).alias("s")).where("length(s) = 40")
-    x, y = rows.select("block", F.col("item_id").alias("a"), F.col("s").alias("x")), rows.select("block", F.col("item_id").alias("b"), F.col("s").alias("y"))
+    """Each item with the next: an equi-join, never all pairs."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", derived_dna(F.col("text")).alias("s"))
+    x, y = rows.select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"), F.col("s").alias("x")), rows.select(F.col("item_id").alias("b"), F.col("s").alias("y"))
     a, b = F.col("x"), F.col("y")
-    return x.join(y, "block").where("a < b").select("a", "b", distance.hamming(a, b).alias("hamming"), distance.levenshtein(a, b).alias("levenshtein"), distance.bounded_levenshtein(a, b, 20).alias("bounded"))
+    return x.join(y, "b").select(
+        "a",
+        "b",
+        F.when(F.length(a) == F.length(b), composition.count_mismatches(a, b)).alias("hamming"),
+        distance.hamming(a, F.reverse(a)).alias("mirror"),
+        distance.levenshtein(a, b).alias("levenshtein"),
+        distance.bounded_levenshtein(a, b, 120).alias("bounded"),
+    )
 
 
 # --- matching
@@ -365,11 +370,11 @@ def suffix_arrays(spark, sf_dir):
 
 @query(
     f"""{SA_SQL}, w AS (SELECT item_id, any_value(t) AS t, string_agg(c, '' ORDER BY r) AS bwt FROM r GROUP BY item_id)
-SELECT item_id, bwt, t AS inverted, CAST(length(t) - length(replace(left(bwt, 21), 'G', '')) - length(t) + 21 AS BIGINT) AS occ_g,
-  CAST(1 + length(t) - length(replace(t, 'A', '')) AS BIGINT) AS less_c FROM w WHERE length(t) > 21"""
+SELECT item_id, bwt, t AS inverted, CAST(length(left(bwt, 21)) - length(replace(left(bwt, 21), 'G', '')) AS BIGINT) AS occ_g,
+  CAST(1 + length(t) - length(replace(t, 'A', '')) AS BIGINT) AS less_c FROM w"""
 )
 def bwt_index(spark, sf_dir):
-    rows = _indexed(spark, sf_dir).where("length(t) > 21")
+    rows = _indexed(spark, sf_dir)
     return rows.select(
         "item_id",
         "bwt",
@@ -551,7 +556,7 @@ def pairwise_alignment(spark, sf_dir):
 def protein_alignment(spark, sf_dir):
     """Local alignment of prose under PAM 120."""
     scoring = align.Scoring(-10, -1, align.FunctionScore(matrices.pam(120).by_code))
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.left(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), F.lit(48)).alias("t"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("t"))
     pairs = rows.select(F.col("item_id").alias("a"), F.col("t").alias("x"), (F.col("item_id") + 1).alias("b")).join(rows.select(F.col("item_id").alias("b"), F.col("t").alias("y")), "b")
     return pairs.select("a", "b", align.alignment(scoring, "local")("x", "y").alias("r")).select("a", "b", "r.score", "r.xstart", "r.xend", "r.ystart", "r.yend")
 
