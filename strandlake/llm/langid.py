@@ -25,7 +25,9 @@ from .common import in_fold, may_learn
 BITS = 15
 SIZE = 1 << BITS
 #: Bound of the sample that the weights are fitted on, for each language.
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 1000
+#: Parts that a language is ranked in first.
+SALTS = 64
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 #: Code points that are hashed at once.
@@ -147,8 +149,11 @@ def fit(docs: DataFrame) -> Model:
             df[feature] = n
     idf = np.log((1 + n_docs) / (1 + df)) + 1
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = learnable.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE)
+    # first inside salted parts of a language, so that no task ranks all of a frequent one
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    parts = Window.partitionBy("lang", F.pmod(F.hash("doc_id"), F.lit(SALTS))).orderBy(*order)
+    few = learnable.select("doc_id", "lang").withColumn("k", F.row_number().over(parts)).where(F.col("k") <= PER_LANGUAGE).drop("k")
+    chosen = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= PER_LANGUAGE)
     sample = learnable.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "lang", "k")), "doc_id")
 
     def featured(batches):
