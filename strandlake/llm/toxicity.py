@@ -2,7 +2,8 @@
 
 The lexicon holds words, and stems (first 4 to 6 letters), that are far likelier in documents
 labelled toxic. It is a trie; a Levenshtein automaton of distance 1 run against it finds
-misspelled terms. Each hit is weighed by the words around it: quotation marks and reporting
+misspelled terms. Edits of the first letter are features of their own, since clean words can be
+of that form. Each hit is weighed by the words around it: quotation marks and reporting
 words within ``WINDOW`` words speak for quotation, so quoted and direct hits are separate features of a logistic
 regression. Lexicon and regression are one classifier, fitted on a bounded sample of labelled
 rows: ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` rows with the smallest hashes of doc_id.
@@ -39,7 +40,8 @@ _WORD = re.compile(r"\w+")
 _QUOTES = re.compile("[\"“”„«»‘’]|(?<!\\w)'|'(?!\\w)")
 # Words that report what others have said.
 REPORTING = frozenset("said says wrote called quoted quote term word insult sagte schrieb nannte dit écrit appelé mot dijo escribió llamó palabra".split())
-FEATURES = ("direct", "quoted", "fuzzy", "fuzzy_quoted", "stem", "density")
+FEATURES = ("direct", "quoted", "fuzzy", "fuzzy_quoted", "first", "first_quoted", "stem", "density")
+DIRECT, FUZZY, FIRST, STEM, DENSITY = 0, 2, 4, 6, 7
 
 
 class Trie:
@@ -53,16 +55,13 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = term
 
-    def within_one(self, word: str) -> str | None:
-        """The smallest term at distance 1 or 0 whose first letter is the word's; None without one.
+    def near(self, word: str) -> list[str]:
+        """The terms at distance 1 or 0.
 
-        The automaton's states (errors so far) run along the trie and the word at once.
+        The automaton's states (errors so far) run along the trie, from its root, and the word at once.
         """
-        first = self.root.get(word[:1])
-        if first is None:
-            return None
-        exact, wrong = first, []  # nodes reached without and with an error
-        for c in word[1:]:
+        exact, wrong = self.root, []  # nodes reached without and with an error
+        for c in word:
             new = [n[c] for n in wrong if c in n]
             if exact is not None:
                 new.append(exact)  # c is too many
@@ -75,11 +74,19 @@ class Trie:
                 exact = exact.get(c)
             wrong = new
             if exact is None and not wrong:
-                return None
+                return []
         found = [n[""] for n in wrong if "" in n]
         if exact is not None:
             found += [n[""] for n in (exact,) if "" in n] + [n[""] for letter, n in exact.items() if letter and "" in n]
-        return min(found) if found else None
+        return found
+
+    def within_one(self, word: str) -> str | None:
+        """The smallest term at distance 1 or 0 whose first letter is the word's; None without one."""
+        return min((t for t in self.near(word) if t[0] == word[:1]), default=None)
+
+    def first_edited(self, word: str) -> str | None:
+        """The smallest term at distance 1 whose first letter is not the word's; None without one."""
+        return min((t for t in self.near(word) if t[0] != word[:1]), default=None)
 
 
 @dataclass
@@ -100,7 +107,7 @@ class Model:
         self.__post_init__()
 
     def verdict(self, word: str) -> tuple[int, float]:
-        """(kind, log odds): 0 none, 1 a term, 2 a stem, 3 a misspelled term."""
+        """(kind, log odds): 0 none, 1 a term, 2 a stem, 3 a misspelled term, 4 one whose first letter is misspelled."""
         found = self.verdicts.get(word)
         if found is None:
             if len(self.verdicts) >= CACHE:
@@ -110,8 +117,9 @@ class Model:
                 found = (1, w)
             elif stems := [s for k in STEMS if (s := self.stems.get(word[:k])) is not None and len(word) >= k]:
                 found = (2, max(stems))
-            elif len(word) >= FUZZY_LENGTH - 1 and (term := self.trie.within_one(word)) is not None:
-                found = (3, self.words[term])
+            elif len(word) >= FUZZY_LENGTH - 1 and (near := self.trie.near(word)):
+                same = [t for t in near if t[0] == word[0]]
+                found = (3, self.words[min(same)]) if same else (4, self.words[min(near)])
             self.verdicts[word] = found
         return found
 
@@ -134,11 +142,12 @@ class Model:
             after = np.searchsorted(marks, spans[b - 1][1]) - np.searchsorted(marks, spans[k][1])
             quoted = bool(before and after) or not REPORTING.isdisjoint(words[a:b])
             if kind == 2:
-                out[4] += odds * (0.5 if quoted else 1.0)
+                out[STEM] += odds * (0.5 if quoted else 1.0)
             else:
-                out[(0, 0, 0, 2)[kind] + quoted] += odds
-        out[5] = len(hits) / len(words)
-        out[:5] = np.log1p(out[:5])
+                out[{1: DIRECT, 3: FUZZY, 4: FIRST}[kind] + quoted] += odds
+        # first-letter edits count by their own features alone
+        out[DENSITY] = sum(found[k][0] != 4 for k in hits) / len(words)
+        out[:DENSITY] = np.log1p(out[:DENSITY])
         return out
 
     def score(self, text: str | None) -> float:
@@ -212,7 +221,7 @@ def _fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     x = np.array([np.frombuffer(b) for b in got.column("x").to_pylist()]).reshape(-1, len(FEATURES))
     y = np.array(got.column("toxic").to_pylist(), float)
     order = np.lexsort((*x.T, y))  # sums in one order, however tasks ended
-    prior = np.array([-2.0, 1.0, 0.4, 0.5, 0.2, 0.7, 1.0])
+    prior = np.array([-2.0, 1.0, 0.4, 0.5, 0.2, 0.5, 0.2, 0.7, 1.0])
     model.weights = logistic(x[order], y[order], prior)
     return model
 

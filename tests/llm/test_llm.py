@@ -163,6 +163,39 @@ def test_levenshtein_automaton():
         assert trie.within_one(w) == (min(near) if near else None)
 
 
+def test_first_letter_edits(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(16)
+    terms = {"".join(rng.choices("abc", k=rng.randint(2, 5))): 1.0 for _ in range(30)}
+    trie = toxicity.Trie(terms)
+    for _ in range(3000):
+        w = "".join(rng.choices("abc", k=rng.randint(0, 6)))
+        near = {t for t in terms if distance(t, w) <= 1}
+        assert set(trie.near(w)) == near
+        assert trie.first_edited(w) == min((t for t in near if t[0] != w[:1]), default=None)
+    model = toxicity.Model({"idiot": 5.0, "stupid": 5.0}, {}, None)
+    for word in ("1diot", "xidiot", "tupid"):
+        direct, quoted = model.features(f"you are {word} today"), model.features(f'they said "{word}" and left')
+        assert direct[toxicity.FIRST] > 0 and quoted[toxicity.FIRST + 1] > 0 and direct.sum() == direct[toxicity.FIRST]
+    assert model.features("you are idiott today")[toxicity.FUZZY] > 0
+    # learned where labels hold them; each misspelling is too rare to become a term itself
+    texts = [prose(rng, 40) + " frumpish blorky zonkhead" * (i % 4 == 0) for i in range(200)]
+    some = "abcdefghijklmnopqrstuvxyz0123456789"
+    miss = lambda w: rng.choice(some) + w[rng.randrange(2) :]
+    texts += [" ".join((prose(rng, 40), miss("frumpish"), miss("blorky"), miss("zonkhead"))) for _ in range(40)]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0 or i >= 200)) for i in range(240)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert all(got[i] == int(i % 4 == 0 or i >= 200) for i in range(240))
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     texts, labels = [], []
