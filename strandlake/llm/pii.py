@@ -28,6 +28,17 @@ ORDER = {kind: k for k, kind in enumerate(BASE + EXTRA)}
 # Cues that stand before an identifier, and words of street names.
 ACCOUNT_CUES = ("account number", "account no", "acct no", "konto-nr", "kontonummer", "numéro de compte", "número de cuenta")
 IBAN_CUES = ("iban",)
+# Letters of an IBAN by country code.
+IBAN_LENGTHS = {
+    code: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+        31: "MT SC", 32: "LC",
+    }.items()
+    for code in codes.split()
+}
 STREET_CUES = ("street", "avenue", "boulevard", "straße", "strasse", "calle", "avenida")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,7 +46,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"[\s:]{0,3}([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30})(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[\s:]{0,3}([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30})")
+_WORD_END = re.compile(r"(?<=[A-Za-z0-9])(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"[.\s:#]{0,3}([0-9](?:[ -]?[0-9]){5,19})(?![0-9])")
 _NUMBER_AFTER = re.compile(r"\s{1,2}([0-9]{1,4}[A-Za-z]?)\b")
 _NUMBER_BEFORE = re.compile(r"[0-9]{1,5} (?:[^\W\d_]+ ){1,3}$")
@@ -57,6 +69,17 @@ def iban_valid(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """The end of the valid IBAN at start, which other words may follow up to end.
+
+    Ends are ends of words: that which the country's length gives first, then from the longest.
+    """
+    ends = [m.start() for m in _WORD_END.finditer(text, start, min(end + 1, len(text))) if m.start() <= end]
+    usual = IBAN_LENGTHS.get(text[start : start + 2].upper())
+    ends.sort(key=lambda e: (len(text[start:e].replace(" ", "")) != usual, -e))
+    return next((e for e in ends if iban_valid(text[start:e])), None)
+
+
 _AUTOMATON = None
 
 
@@ -73,8 +96,7 @@ def _automaton():
         a.add_word("://", ("scheme", 3))
         for kind, cues in (("account", ACCOUNT_CUES), ("iban", IBAN_CUES), ("street", STREET_CUES)):
             for cue in cues:
-                for form in {cue, cue.capitalize(), cue.upper() if "ß" not in cue else cue}:
-                    a.add_word(form, (kind, len(form)))
+                a.add_word(cue, (kind, len(cue)))
         a.make_automaton()
         _AUTOMATON = a
     return _AUTOMATON
@@ -85,7 +107,8 @@ def find(text: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     email_end = ip_end = card_end = phone_end = 0
     last_digit = -2
-    for at, (what, size) in _automaton().iter(text):
+    # cues are matched without regard to case; İ is the one letter whose lower case is longer
+    for at, (what, size) in _automaton().iter(text.replace("İ", "i").lower()):
         if what == "digit":
             if at >= card_end and (m := _CARD.match(text, at)):
                 card_end = m.end()
@@ -127,8 +150,8 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 elif m := _NUMBER_BEFORE.search(text[max(0, begin - 80) : begin]):
                     out.append(("street", max(0, begin - 80) + m.start(), end))
             elif what == "iban":
-                if (m := _IBAN.match(text, end)) and iban_valid(m.group(1)):
-                    out.append(("iban", *m.span(1)))
+                if (m := _IBAN.match(text, end)) and (last := iban_end(text, *m.span(1))):
+                    out.append(("iban", m.start(1), last))
             elif m := _ACCOUNT.match(text, end):
                 out.append(("account", *m.span(1)))
     return sorted(set(out), key=lambda x: (x[1], ORDER[x[0]], x[2]))

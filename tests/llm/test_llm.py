@@ -411,6 +411,22 @@ def test_personal_data(spark):
     assert "iban" in kinds[0] and "account" in kinds[1] and "street" in kinds[2] and "login" in kinds[3]
 
 
+def test_identifiers_in_running_text():
+    number, plain = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+    for text in (f"IBAN: {number} for the rent.", f"IBAN: {plain} please", f"iban {number} x {plain}", f"iBaN {plain}", f"my IBAN {number}, thanks", f"IBAN {number} is what you asked me for, number by number"):
+        found = [text[a:b] for kind, a, b in pii.find(text) if kind == "iban"]
+        assert found == [number if number in text else plain], text
+    # a longer end that happens to be valid as well gives way to the country's length
+    longer = next(w for k in range(1000) if pii.iban_valid(plain + (w := f" a{k:03}")))
+    assert ("iban", 5, 5 + len(plain)) in pii.find(f"IBAN {plain}{longer}")
+    assert not [s for s in pii.find(f"IBAN: {plain}please and DE88 3704 0044 0532 0130 00 for it") if s[0] == "iban"]
+    for cue in pii.ACCOUNT_CUES:
+        for form in (cue, cue.upper(), cue.title(), cue.capitalize(), cue.swapcase()):
+            assert ("account", len(form) + 1, len(form) + 9) in pii.find(f"{form} 12345678"), form
+    assert pii.find("12 Old StReEt") == [("street", 0, 13)]
+    assert pii.find("İ me@a.b Account Number 12345678") == [("email", 2, 8), ("account", 24, 32)]
+
+
 # 10
 
 
