@@ -6,7 +6,8 @@ misspelled terms. Edits of the first letter are features of their own, since cle
 of that form. Each hit is weighed by the words around it: quotation marks and reporting
 words within ``WINDOW`` words speak for quotation, so quoted and direct hits are separate features of a logistic
 regression. Lexicon and regression are one classifier, fitted on a bounded sample of labelled
-rows: ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` rows with the smallest hashes of doc_id.
+rows: ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` rows with the smallest hashes of doc_id. The intercept
+is that of all learnable labels, whatever share of a class the sample holds.
 
 Defined results: null and empty texts get the score of a text without hits; without labels
 every score is 0; several labels of one document count as the highest; null labels teach
@@ -200,6 +201,7 @@ def _fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     known = labels.where(F.col("toxic").isin(0, 1) & may_learn(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     ids = known.where("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(known.where("toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN))
+    labelled = dict(known.groupBy("toxic").count().collect())
     sample = scratch(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text"), "toxicity-sample")
     size = dict(sample.groupBy("toxic").count().collect())
     n1, n0 = size.get(1, 0), size.get(0, 0)
@@ -223,6 +225,8 @@ def _fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     order = np.lexsort((*x.T, y))  # sums in one order, however tasks ended
     prior = np.array([-2.0, 1.0, 0.4, 0.5, 0.2, 0.5, 0.2, 0.7, 1.0])
     model.weights = logistic(x[order], y[order], prior)
+    # from the sample's ratio of classes to that of all labels
+    model.weights[0] += np.log(max(1.0, labelled[1] / SAMPLE_TOXIC)) - np.log(max(1.0, labelled[0] / SAMPLE_CLEAN))
     return model
 
 

@@ -225,6 +225,21 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_intercept_of_all_labels(spark, monkeypatch):
+    rng = random.Random(17)
+    docs = docs_of(spark, [prose(rng, 30) + " blorky" * (i % 6 == 0) for i in range(300)])
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(300)], "doc_id long, toxic int")
+    learnable = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    n1 = sum(i % 6 == 0 for i in learnable)
+    n0, fitted, plain = len(learnable) - n1, [], toxicity.logistic
+    monkeypatch.setattr(toxicity, "logistic", lambda *a: fitted.append(plain(*a)) or fitted[-1].copy())
+    for toxic, clean, want in ((8000, 16000, 0.0), (20, 40, np.log(n1 / 20) - np.log(n0 / 40)), (8000, 40, -np.log(n0 / 40))):
+        monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", toxic)
+        monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", clean)
+        model = toxicity.fit(docs, labels)
+        assert np.isclose(model.weights[0] - fitted[-1][0], want) and (model.weights[1:] == fitted[-1][1:]).all()
+
+
 # 5
 
 
