@@ -175,11 +175,15 @@ def fetch(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
     """(name, seq, qual) at the places that an index (of one file) gives, without parsing the file.
 
     Line ends inside a sequence are as many bytes as the index says. The index goes to the task that
-    holds the file, as one array; it has a few numbers for each record of that file.
+    holds the file, as one array; it has a few numbers for each record of that file. A path of
+    several files, or none, is an error.
     """
     own = index if "qual_offset" in index.columns else index.withColumn("qual_offset", F.lit(None).cast("bigint"))
     places = own.agg(F.collect_list(F.struct(*INDEX)).alias("places")).withColumn("_file", F.lit(0))
-    files = spark.read.format("binaryFile").load(path).select("content").limit(1).withColumn("_file", F.lit(0))
+    found = spark.read.format("binaryFile").load(path)
+    if (n := len(found.inputFiles())) != 1:
+        raise ValueError(f"an index is of one file, but {path} matches {n}")
+    files = found.select("content").limit(1).withColumn("_file", F.lit(0))  # the one there is
 
     def cut(data: bytes, at: int, p) -> str:
         n, base, width = p["length"], p["line_base"], p["line_width"]

@@ -278,6 +278,15 @@ def test_fasta_and_fastq(spark, tmp_path):
         fastx.read_index(spark, str(tmp_path / "bad.fai")).collect()
 
 
+def test_fetch_takes_one_file(spark, tmp_path):
+    for name, seq in (("a", "ACGT"), ("b", "GGTT")):
+        (tmp_path / f"{name}.fa").write_text(f">{name}\n{seq}\n")
+    index = fastx.scan_index(spark, str(tmp_path / "b.fa")).drop("path")
+    assert [tuple(r) for r in fastx.fetch(spark, str(tmp_path / "b*"), index).collect()] == [("b", "GGTT", None)]
+    with pytest.raises(ValueError, match="matches 2"):
+        fastx.fetch(spark, f"{tmp_path}/*.fa", index)
+
+
 def test_sam_and_bam(spark, tmp_path):
     text = "@HD\tVN:1.6\tSO:coordinate\n@SQ\tSN:ref1\tLN:45\n@SQ\tSN:ref2\tLN:40\n@CO\thello\n"
     rows = "r1\t99\tref1\t7\t30\t8M2I4M1D3M\t=\t37\t39\tTTAGATAAAGGATACTG\tIIIIIIIIIIIIIIIII\tNM:i:1\nr5\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*\n\n"
