@@ -121,7 +121,7 @@ def parse_chats(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame
 
 
 def digest(conversations: DataFrame, template: Template = DEFAULT) -> DataFrame:
-    """What has been read back from the formatted output, as counts and digests."""
+    """What has been read back from the formatted output, as counts and digests, and whether the role machine accepts it."""
     back = parse_chats(format_chats(conversations, template), template)
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
@@ -131,4 +131,5 @@ def digest(conversations: DataFrame, template: Template = DEFAULT) -> DataFrame:
         F.char_length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
     )

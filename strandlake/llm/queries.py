@@ -40,7 +40,9 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(15 + length(role) + length(text)
     + 2 * length(role || text) - length(replace(replace(role || text, chr(92), ''), '<', '')) - length(role || text)
-    + length(role) - length(replace(role, chr(10), ''))) AS BIGINT) AS formatted_chars
+    + length(role) - length(replace(role, chr(10), ''))) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE '?' END, ''
+    ORDER BY turn NULLS FIRST, role, text), 's?(ua)+') AS valid
 FROM c GROUP BY conv_id"""
 
 

@@ -291,6 +291,9 @@ def test_chat_round_trip(spark):
     assert {c: r.valid for c, r in back.items()} == {1: True, 2: False, None: False, 3: False, 4: True}
     one = {r.conv_id: r for r in chat.digest(df).collect()}[4]
     assert one.turns_sha256 == hashlib.sha256(b"user\nearly\nassistant\nlate\n").hexdigest() and one.loss_chars == 4
+    assert {c: r.valid for c, r in back.items()} == {r.conv_id: r.valid for r in chat.digest(df).collect()}
+    plan = chat.digest(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rejected" in plan  # the role machine is part of what runs
     assert chat.digest(df.limit(0)).count() == 0
 
 
