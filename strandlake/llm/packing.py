@@ -4,9 +4,10 @@ Texts become byte-level BPE ids and one end id. A longer text than a sequence is
 full pieces, of which the first may be shorter. Full pieces are sequences of their own; the others are
 dealt by a hash into groups of about ``GROUP`` pieces, each an independent bin-packing problem of
 bounded size. Every group is solved on ``ISLANDS`` islands: an individual is a list of bins;
-crossover injects whole well-filled bins of one parent into the other, removes bins that
-would hold a piece twice, and best-fits the displaced pieces; after each epoch an island's best goes to the
-next one. Pieces of equal length are interchangeable, so that bins are tuples of lengths until
+crossover injects whole full bins of one parent into the other, removes bins that
+would hold a piece twice and badly filled ones, and best-fits the displaced pieces; after each epoch an
+island's best goes to the next one. A group ends early once it needs no more bins than a lower bound says.
+Pieces of equal length are interchangeable, so that bins are tuples of lengths until
 the winner is dealt out to pieces.
 
 Defined results: a null or empty text is the end id alone; repeated rows and equal doc_ids are
@@ -29,7 +30,14 @@ from pyspark.sql import functions as F
 from .common import stored
 
 CAPACITY, END_ID = 1024, 2
-GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 2, 2, 3, 4
+#: Pieces of a group; islands of a group, and individuals of an island; epochs, and children of an island in each.
+GROUP, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 8192, 2, 6, 3, 50
+#: An epoch ends after so many children in a row that were no gain.
+PATIENCE = 30
+#: A bin filled to less than a share drawn from these is taken apart, and this share of the bins with pieces for gaps.
+FILLED, DISSOLVED = (0.85, 0.95, 0.999), 0.75
+#: What is added to lengths before they are ordered, at most.
+NOISES = (0, 16, 64, 200)
 #: Texts of other characters than these go through the slower library: there both agree on what a letter is.
 _PLAIN = re.compile("[^\\x00-\\u024F\\u2010-\\u2027\\u20AC]")
 SPECIAL = "<|endoftext|>"
@@ -108,12 +116,15 @@ Bins = list[tuple[int, ...]]
 
 def best_fit(lengths, capacity: int, bins: Bins = ()) -> Bins:
     """Each length in the order given goes to the fullest bin that has room, else to a new one."""
-    by_room: dict[int, list[list[int]]] = {}
-    mask = 0
+    by_room: dict[int, Bins] = {}
+    mask, done = 0, []
     for b in bins:
         room = capacity - sum(b)
-        by_room.setdefault(room, []).append(list(b))
-        mask |= 1 << room
+        if room:
+            by_room.setdefault(room, []).append(b)
+            mask |= 1 << room
+        else:
+            done.append(b)
     for x in lengths:
         fits = mask >> x
         if fits:
@@ -123,63 +134,93 @@ def best_fit(lengths, capacity: int, bins: Bins = ()) -> Bins:
             if not own:
                 mask ^= 1 << room
         else:
-            room, b = capacity, []
-        b.append(x)
-        by_room.setdefault(room - x, []).append(b)
-        mask |= 1 << (room - x)
-    return [tuple(b) for own in by_room.values() for b in own]
+            room, b = capacity, ()
+        room -= x
+        if room:
+            by_room.setdefault(room, []).append((*b, x))
+            mask |= 1 << room
+        else:
+            done.append((*b, x))
+    return done + [b for own in by_room.values() for b in own]
+
+
+class Packed:
+    """An individual: its bins, how full they are, and its fitness: fewer bins first, then fuller full ones and emptier empty ones."""
+
+    def __init__(self, bins: Bins):
+        self.bins, self.sums, self._set = bins, list(map(sum, bins)), None
+        self.fitness = -len(bins), sum([n * n for n in self.sums])
+
+    @property
+    def known(self) -> set:
+        if self._set is None:
+            self._set = set(self.bins)
+        return self._set
+
+
+def least_bins(histogram: np.ndarray, capacity: int) -> int:
+    """A lower bound of any packing's bins (Martello and Toth's L2): pieces over half a bin never share one,
+    and small pieces can only use what room those leave."""
+    count, total = np.cumsum(histogram), np.cumsum(histogram * np.arange(capacity + 1))
+    half, best = capacity // 2, -(-int(total[-1]) // capacity)
+    for k in range(1, half + 1):
+        large = int(count[-1] - count[half])
+        middle, length = int(count[capacity - k] - count[half]), int(total[capacity - k] - total[half])
+        small = int(total[half] - total[k - 1])
+        best = max(best, large + max(0, -(-(small - middle * capacity + length) // capacity)))
+    return best
 
 
-def fitness(bins: Bins, capacity: int) -> tuple[int, float]:
-    """Fewer bins first; then fuller full ones and emptier empty ones."""
-    return -len(bins), sum((sum(b) / capacity) ** 2 for b in bins)
+def shuffled_down(lengths: list[int], noise: float, rng: random.Random) -> list[int]:
+    """Decreasing lengths, with so much noise."""
+    return sorted(lengths, key=lambda n: -n - rng.random() * noise) if noise else sorted(lengths, reverse=True)
 
 
-def cross(a: Bins, b: Bins, left: Counter, capacity: int, rng: random.Random) -> Bins:
-    """Bins of b that are filled well, then those of a that clash with none of them, then best fit.
+def cross(a: Packed, b: Packed, capacity: int, rng: random.Random) -> Packed:
+    """A child of a with whole full bins of b.
 
-    left: how many pieces there are of each length; it is used up.
+    Bins of a that hold a piece of an injected bin are removed, as are badly filled ones, and most of those
+    that spend a piece small enough to fill a gap elsewhere. Their other pieces are displaced and best-fitted.
     """
-    full = [x for x in b if sum(x) >= 0.98 * capacity]
-    child = rng.sample(full, rng.randint(len(full) // 4, len(full) // 2)) if len(full) > 3 else list(full)
-    for x in child:
-        for n in x:
-            left[n] -= 1
-    for x in sorted(a, key=sum, reverse=True):
-        if sum(x) >= 0.9 * capacity:
-            need = Counter(x)
-            if all(left[n] >= k for n, k in need.items()):
-                child.append(x)
-                for n in x:
-                    left[n] -= 1
-    rest = [n for n, k in left.items() for _ in range(k)]
-    rest.sort(key=lambda n: -n - rng.random() * 16)
-    return best_fit(rest, capacity, child)
+    least, known = rng.choice(FILLED) * capacity, a.known
+    full = [x for n, x in zip(b.sums, b.bins) if n == capacity]
+    injected = [x for x in rng.sample(full, min(len(full), rng.randint(1, max(1, len(a.bins) // 100)))) if x not in known]
+    owed = Counter([n for x in injected for n in x])
+    gap = capacity - min([n for n in a.sums if n >= FILLED[0] * capacity], default=capacity)
+    displaced, kept, partly = [], injected, []
+    free, draw = owed.keys().isdisjoint, rng.random
+    for n, x in zip(a.sums, a.bins):
+        if n >= least and free(x) and (min(x) > gap or draw() >= DISSOLVED):
+            (kept if n == capacity else partly).append(x)
+            continue
+        for piece in x:
+            if piece not in owed:
+                displaced.append(piece)
+            elif owed[piece] == 1:
+                del owed[piece]
+            else:
+                owed[piece] -= 1
+    return Packed(kept + best_fit(shuffled_down(displaced, rng.choice(NOISES), rng), capacity, partly))
 
 
 def evolve(histogram: np.ndarray, population: list[Bins], capacity: int, seed: int, generations: int) -> list[Bins]:
-    """histogram: pieces by length. The population, best first."""
+    """histogram: pieces by length. The population, best first, after so many children, or when none can be better."""
     rng = random.Random(seed)
-    counts = Counter({int(n): int(histogram[n]) for n in np.flatnonzero(histogram)})
-    total = sum(n * k for n, k in counts.items())
-    lengths = sorted(counts.elements(), reverse=True)
-    population = list(population)
-    if len(population) < POPULATION:
-        population.append(best_fit(lengths, capacity))
-    while len(population) < POPULATION:
-        noise = rng.choice((4, 16, 64))
-        population.append(best_fit(sorted(lengths, key=lambda n: -n - rng.random() * noise), capacity))
-    population.sort(key=lambda p: fitness(p, capacity), reverse=True)
+    lengths = np.repeat(np.arange(capacity + 1), histogram).tolist()
+    least = least_bins(histogram, capacity)
+    population = list(population) or [best_fit(shuffled_down(lengths, 0, rng), capacity)]
+    while len(population) < POPULATION and len(population[0]) > least:
+        population.append(best_fit(shuffled_down(lengths, rng.choice(NOISES[1:]), rng), capacity))
+    ranked = sorted(map(Packed, population), key=lambda p: p.fitness, reverse=True)
+    idle = 0
     for _ in range(generations):
-        if len(population[0]) == -(-total // capacity):
-            break  # no packing has fewer
-        parents = population[:POPULATION]
-        for _ in range(POPULATION // 2):
-            a, b = rng.sample(parents, 2)
-            population.append(cross(a, b, counts.copy(), capacity, rng))
-        population.sort(key=lambda p: fitness(p, capacity), reverse=True)
-        del population[POPULATION:]
-    return population
+        if len(ranked[0].bins) <= least or idle > PATIENCE:
+            break
+        child = cross(*rng.sample(ranked, 2), capacity, rng)
+        idle = 0 if child.fitness > ranked[0].fitness else idle + 1
+        if all(child.fitness != p.fitness for p in ranked):
+            ranked = sorted([*ranked, child], key=lambda p: p.fitness, reverse=True)[:POPULATION]
+    return [p.bins for p in ranked]
 
 
 def to_bytes(bins: Bins) -> bytes:
@@ -221,7 +262,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 histogram[cell["length"]] = cell["count"]
             population = [from_bytes(p) for p in (own["pop"] if own["pop"] is not None else ())]
             for pop in pdf[pdf.guest.astype(bool)]["pop"]:
-                population = [from_bytes(pop[0]), *population][:POPULATION]
+                population = [from_bytes(pop[0]), *population[: POPULATION - 1]]
             population = evolve(histogram, population, capacity, hash((g, k, number)), GENERATIONS)
             mine = {"g": g, "island": k, "guest": False, "h": list(own.h), "pop": [to_bytes(p) for p in population]}
             guest = {"g": g, "island": (k + 1) % ISLANDS, "guest": True, "h": [], "pop": mine["pop"][:1]}

@@ -1,6 +1,7 @@
 """Each operator against a plain version of itself, with nulls, empty and long texts, ties, repeats, empty tables and extra columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from oracle import DATA
 from strandlake.llm import chat, decontaminate, graph, jaccard, langid, linededup, packing, pii, tokens, topk, toxicity
 from strandlake.llm.common import Scratch
 
@@ -484,6 +486,49 @@ def test_packing(spark):
     assert sum(len(r.ids) for r in packing.with_ids(packed, plain).collect()) == sum(r.length for r in packed.collect())
 
 
+def test_ids_of_both_libraries(spark):
+    """Texts of plain letters take the faster library; its ids are those of the file."""
+    tok, rng = packing.tokenizer(), random.Random(18)
+    tok.ids("日")  # loads the other
+    own = lambda t: tok.slow.encode(t, add_special_tokens=False).ids
+    letters = [chr(c) for c in (*range(0x250), *range(0x2010, 0x2028), 0x20AC)]
+    for _ in range(3000):
+        t = "".join(rng.choices(letters, k=rng.randrange(30))) + "".join(rng.choices(" \n\t'sStT0½a\xa0\x85\x1f", k=rng.randrange(20)))
+        assert tok.ids(t) == own(t), t
+    if os.path.isdir(DATA):
+        texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").where("text is not null").collect()]
+        assert all(tok.ids(t) == own(t) for t in texts)
+
+
+@pytest.mark.parametrize("low, high, gain", [(200, 600, 5), (100, 700, 1)])
+def test_genetic_packing_beats_best_fit(spark, low, high, gain):
+    rng = random.Random(low)
+    lengths = [rng.randint(low, high) for _ in range(1500)] + [1024] * 3
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0, i) for i, n in enumerate(lengths)], packing.PIECES)
+    rows = packing.pack(pieces).collect()
+    assert Counter((r.doc_id, r.length) for r in rows) == Counter(enumerate(lengths))
+    plain = len(packing.best_fit(sorted(lengths, reverse=True), 1024))
+    found = len({r.sequence_id for r in rows})
+    assert packing.least_bins(np.bincount(lengths, minlength=1025), 1024) <= found <= plain - gain
+
+
+def test_least_bins():
+    rng = random.Random(19)
+    for _ in range(300):
+        capacity = rng.choice((10, 11, 16))
+        lengths = [rng.randint(1, capacity) for _ in range(rng.randrange(1, 8))]
+
+        def fewest(left, bins):
+            if not left:
+                return len(bins)
+            n, *rest = left
+            return min([fewest(rest, [*bins[:k], r - n, *bins[k + 1 :]]) for k, r in enumerate(bins) if r >= n] + [fewest(rest, [*bins, capacity - n])])
+
+        best = fewest(lengths, [])
+        assert -(-sum(lengths) // capacity) <= packing.least_bins(np.bincount(lengths, minlength=capacity + 1), capacity) <= best
+        assert len(packing.evolve(np.bincount(lengths, minlength=capacity + 1), [], capacity, 1, 30)[0]) >= best
+
+
 def test_genetic_packing_keeps_every_piece():
     rng = random.Random(14)
     lengths = [rng.randint(1, 1023) for _ in range(800)]
