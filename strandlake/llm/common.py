@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.operators.stored import delete, fresh, mark, release, stored  # noqa: F401
+
 #: White space of every contract here: space and the control characters 9 to 13.
 SPACE = "\\x20\\x09-\\x0D"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -29,17 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (found or os.path.join(tempfile.gettempdir(), "strandlake-shared")).rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: its lineage is cut, and a lost executor costs nothing."""
-    return Scratch(df.sparkSession)(df, name)
-
-
 class Scratch:
     """Stored tables that go when the block ends; what a result still needs has to be stored by ``stored``."""
 
@@ -48,8 +35,7 @@ class Scratch:
         small_batches(spark)
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/strandlake/{name}-{uuid.uuid4().hex}"
-        schema = df.schema
+        path, schema = fresh(self.spark, name), df.schema
         df.write.parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(schema).parquet(path)
@@ -58,13 +44,26 @@ class Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for path in self.paths:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+            delete(self.spark, path)
         self.paths = []
 
 
+def succeeded(df: DataFrame, name: str, since: int) -> DataFrame:
+    """df stored; then all that was stored since that mark goes, since only df needed it."""
+    out = stored(df, name)
+    release(df.sparkSession, since, but=1)
+    return out
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """The name, lengthened until no column of frames has it."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def in_fold(doc_id: Column) -> Column:
     """True for held-out rows: crc32 of doc_id as text, mod 5, is 0. A null doc_id is never held out nor learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored, words
+from .common import small, stored, unused, words
 
 WORDS, NUM, DEN = 5, 4, 5
 #: Rows of a sketch table, of candidates, that are broadcast at most.
@@ -78,5 +78,6 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that contain no item, with all their columns."""
-    found = stored(contained(docs, items).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(small(found, BROADCAST_ROWS), docs["doc_id"] == F.col("_leak"), "left_anti")
+    leak = unused("_leak", docs)
+    found = stored(contained(docs, items).select(F.col("doc_id").alias(leak)).distinct(), "leaks")
+    return docs.join(small(found, BROADCAST_ROWS), docs["doc_id"] == F.col(leak), "left_anti")

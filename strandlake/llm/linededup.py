@@ -7,10 +7,15 @@ hash. The index keeps three tables in the shared folder:
 * ``refs``: (h1, h2, n_docs, max_doc), the exact reference counts;
 * ``filters``: for each shard a cuckoo filter of the keys found in at least ``min_docs`` documents.
 
-``insert`` and ``delete`` change counts by what a batch adds or takes, and put keys into or take
-them out of the filters as they cross ``min_docs``, so that taking a batch out again restores
-the former decisions. ``apply`` asks the filters first and confirms their answers by the exact
-counts; a filter only has to be free of false negatives.
+``insert`` and ``delete`` write what a batch changes: new postings, or the documents gone, and the new
+counts of the keys it touches; older tables are read through these and put together after ``LAYERS``
+batches. Keys go into or out of the filters as they cross ``min_docs``, so that taking a batch out
+again restores the former decisions. Once shards hold twice the keys they are meant for, the filters
+are made anew from the exact counts, with more shards.
+
+``apply`` sends keys to the filter of their shard, in parts of about ``PART_POSTINGS`` keys, so that no task
+holds a hot line's documents or more than one filter. What a filter may hold is confirmed by the
+exact counts; a filter only has to be free of false negatives.
 
 Keys of at least ``min_length`` code points that are in at least ``min_docs`` documents lose all
 their lines except in the document with the largest doc_id.
@@ -27,17 +32,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import ASCII_UPPER, Scratch, stored, utf8
+from .common import ASCII_UPPER, Scratch, small, stored, unused, utf8
 
 MIN_DOCS, MIN_LENGTH = 3, 20
 #: Keys that a shard's filter is meant for; there are as many shards as that needs.
 SHARD_KEYS = 50_000
-#: Filters of at most so many bytes together are sent to the tasks; beyond it, every key goes to the exact join.
-FILTER_BYTES = 32 << 20
+#: Keys that ask a shard's filter in one part; the filter goes to each part.
+PART_POSTINGS = 100_000
+#: Lines that are confirmed in several parts, at most.
+HOT_LINES = 100_000
+#: Rows of a table of shards that is broadcast at most.
+SHARDS_SENT = 1_000_000
+#: Batches whose tables are read through one another before they are put together.
+LAYERS = 8
 _LOWER = str.maketrans(ASCII_UPPER, ASCII_UPPER.lower())
 _SPACE = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
@@ -129,9 +140,9 @@ class Cuckoo:
         return found
 
 
-def shard_of(h1, shards: int):
+def shard_of(shards: int) -> Column:
     """The high bits of h1 name the shard; buckets use the low ones."""
-    return (h1 >> 40) % shards
+    return F.pmod(F.shiftright("h1", 40), F.lit(shards)).cast("long")
 
 
 def _postings(min_length: int):
@@ -158,6 +169,7 @@ class LineIndex:
     shards: int
     min_docs: int = MIN_DOCS
     min_length: int = MIN_LENGTH
+    layers: int = 0
 
     @classmethod
     def build(cls, docs: DataFrame, min_docs: int = MIN_DOCS, min_length: int = MIN_LENGTH, keep: Callable = stored) -> LineIndex:
@@ -166,7 +178,7 @@ class LineIndex:
         refs = keep(cls._counted(postings), "line-refs")
         often = refs.where(F.col("n_docs") >= min_docs)
         shards = max(1, -(-often.count() // SHARD_KEYS))
-        return cls(postings, refs, cls._updated(often.limit(0), often, None, shards, keep), shards, min_docs, min_length)
+        return cls(postings, refs, cls._filled(often, shards, keep), shards, min_docs, min_length)
 
     @staticmethod
     def _keys(docs: DataFrame, min_length: int) -> DataFrame:
@@ -178,103 +190,127 @@ class LineIndex:
         return postings.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
 
     @staticmethod
-    def _updated(gone: DataFrame, come: DataFrame, filters: DataFrame | None, shards: int, keep: Callable = stored) -> DataFrame:
-        """The shards' filters without the keys gone and with those come."""
-        change = come.select(*KEY, F.lit(True).alias("add")).unionByName(gone.select(*KEY, F.lit(False).alias("add")))
-        change = change.withColumn("shard", F.pmod(F.shiftright("h1", 40), F.lit(shards)))
+    def _filled(often: DataFrame, shards: int, keep: Callable = stored) -> DataFrame:
+        """A filter for each shard that has keys."""
 
-        def build(old: bytes | None, h1, h2, add) -> bytes:
-            f = Cuckoo(SHARD_KEYS if shards > 1 else 2 * len(h1), old)
-            f.delete(h1[~add], h2[~add])
-            f.insert(h1[add], h2[add])
-            return f.to_bytes()
+        def fill(key, pdf):
+            import pandas as pd
 
-        if filters is None:
+            f = Cuckoo(2 * SHARD_KEYS if shards > 1 else 2 * len(pdf))
+            f.insert(pdf.h1.to_numpy(), pdf.h2.to_numpy())
+            return pd.DataFrame({"shard": [key[0]], "bits": [f.to_bytes()]})
 
-            def first(key, pdf):
-                import pandas as pd
+        return keep(often.select(*KEY, shard_of(shards).alias("shard")).groupBy("shard").applyInPandas(fill, "shard long, bits binary"), "line-filters")
 
-                return pd.DataFrame({"shard": [key[0]], "bits": [build(None, pdf.h1.to_numpy(), pdf.h2.to_numpy(), pdf["add"].to_numpy(bool))]})
-
-            out = change.groupBy("shard").applyInPandas(first, "shard long, bits binary")
-        else:
+    def _updated(self, gone: DataFrame, come: DataFrame) -> DataFrame:
+        """The shards' filters without the keys gone and with those come."""
+        change = come.select(*KEY, F.lit(True).alias("add")).unionByName(gone.select(*KEY, F.lit(False).alias("add")))
+        change = change.withColumn("shard", shard_of(self.shards))
 
-            def again(key, old, pdf):
-                import pandas as pd
+        def turn(key, old, pdf):
+            import pandas as pd
 
-                bits = old.bits.iloc[0] if len(old) else None
-                bits = build(bits, pdf.h1.to_numpy(), pdf.h2.to_numpy(), pdf["add"].to_numpy(bool)) if len(pdf) else bits
-                return pd.DataFrame({"shard": [key[0]], "bits": [bits]})
+            bits = old.bits.iloc[0] if len(old) else None
+            if len(pdf):
+                f = Cuckoo(2 * max(SHARD_KEYS, len(pdf)), bits)
+                h1, h2, add = pdf.h1.to_numpy(), pdf.h2.to_numpy(), pdf["add"].to_numpy(bool)
+                f.delete(h1[~add], h2[~add])
+                f.insert(h1[add], h2[add])
+                bits = f.to_bytes()
+            return pd.DataFrame({"shard": [key[0]], "bits": [bits]})
 
-            out = filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(again, "shard long, bits binary")
-        return keep(out, "line-filters")
+        return stored(self.filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(turn, "shard long, bits binary"), "line-filters")
 
     def _changed(self, postings: DataFrame, counts: DataFrame) -> LineIndex:
-        """The index with other postings; counts: the new refs of all keys that differ (0: gone)."""
-        old = self.refs.alias("o").join(counts.alias("c"), KEY, "full_outer")
-        now = F.coalesce(F.col("c.n_docs"), F.col("o.n_docs"))
-        before = F.coalesce(F.col("o.n_docs"), F.lit(0))
-        both = stored(old.select(*KEY, before.alias("before"), now.alias("n_docs"), F.when(F.col("c.n_docs").isNotNull(), F.col("c.max_doc")).otherwise(F.col("o.max_doc")).alias("max_doc")), "line-change")
+        """The index with other postings; counts: the new refs of all keys that are touched (0: gone)."""
+        before = self.refs.select(*KEY, F.col("n_docs").alias("before"))
+        both = stored(counts.join(before, KEY, "left").withColumn("before", F.coalesce("before", F.lit(0))), "line-change")
+        refs = self.refs.join(both.select(*KEY), KEY, "left_anti").unionByName(both.where("n_docs > 0").select(*self.refs.columns))
+        layers = self.layers + 1
+        if layers >= LAYERS:
+            postings, refs, layers = stored(postings, "line-postings"), stored(refs, "line-refs"), 0
         m = self.min_docs
-        come, gone = both.where((F.col("before") < m) & (F.col("n_docs") >= m)), both.where((F.col("before") >= m) & (F.col("n_docs") < m))
-        refs = stored(both.where("n_docs > 0").drop("before"), "line-refs")
-        return LineIndex(postings, refs, self._updated(gone, come, self.filters, self.shards), self.shards, m, self.min_length)
+        often = refs.where(F.col("n_docs") >= m)
+        n = often.count()
+        if n > 2 * self.shards * SHARD_KEYS:
+            shards = -(-n // SHARD_KEYS)
+            filters = self._filled(often, shards)
+        else:
+            shards = self.shards
+            come, gone = both.where((F.col("before") < m) & (F.col("n_docs") >= m)), both.where((F.col("before") >= m) & (F.col("n_docs") < m))
+            filters = self._updated(gone, come)
+        return LineIndex(postings, refs, filters, shards, m, self.min_length, layers)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with more documents; rows of documents that it has already change nothing."""
         new = self._keys(docs, self.min_length).distinct().join(self.postings, [*KEY, "doc_id"], "left_anti")
         new = stored(new, "line-insert")
-        postings = stored(self.postings.unionByName(new), "line-postings")
+        postings = self.postings.unionByName(new)
         touched = postings.join(new.select(*KEY).distinct(), KEY, "left_semi")
         return self._changed(postings, self._counted(touched))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """The index without the documents of the column doc_id."""
-        ids = doc_ids.select("doc_id").where("doc_id is not null").distinct()
+        ids = stored(doc_ids.select("doc_id").where("doc_id is not null").distinct(), "line-gone")
         keys = stored(self.postings.join(ids, "doc_id", "left_semi").select(*KEY).distinct(), "line-delete")
-        postings = stored(self.postings.join(ids, "doc_id", "left_anti"), "line-postings")
+        postings = self.postings.join(ids, "doc_id", "left_anti")
         left = self._counted(postings.join(keys, KEY, "left_semi"))
         counts = keys.join(left, KEY, "left").select(*KEY, F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "max_doc")
-        return self._changed(postings, counts)
+        return self._changed(postings.select(*KEY, "doc_id"), counts)
 
     def _probed(self, postings: DataFrame) -> DataFrame:
-        """The postings that the filters may hold."""
-        size = self.filters.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
-        if size > FILTER_BYTES:
-            return postings
-        spark = postings.sparkSession
-        sent = spark.sparkContext.broadcast({s: bytes(b) for s, b in self.filters.collect()})
-        shards = self.shards
+        """The postings that the filters may hold. postings is read twice, so it should be a stored table."""
+        placed = postings.withColumn("shard", shard_of(self.shards))
+        parts = F.ceil(F.col("n") / PART_POSTINGS).cast("long").alias("parts")
+        asked = placed.groupBy("shard").agg(F.count("*").alias("n")).join(self.filters.select("shard"), "shard").select("shard", parts)
+        asked = small(asked, SHARDS_SENT)
+        nothing = lambda names: [F.lit(None).cast("long").alias(c) for c in names]
+        keys = placed.join(asked, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), F.lit(None).cast("binary").alias("bits"), *KEY, "doc_id")
+        bits = self.filters.join(asked, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "bits", *nothing([*KEY, "doc_id"]))
+        ordered = keys.unionByName(bits).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("bits").isNull())
 
         def rows(batches):
-            filters = {s: Cuckoo(state=b) for s, b in sent.value.items()}
+            own = None  # the filter of the part that is being read; it comes before the part's keys
             for batch in batches:
-                h1, h2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                found, shard = np.zeros(len(h1), bool), shard_of(h1, shards)
-                for s, f in filters.items():
-                    own = np.flatnonzero(shard == s)
-                    if len(own):
-                        found[own] = f.contains(h1[own], h2[own])
-                yield batch.filter(pa.array(found))
-
-        return postings.mapInArrow(rows, "h1 long, h2 long, doc_id long")
+                at = 0
+                starts = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False)).tolist()
+                h1, h2 = (batch.column(k).fill_null(0).to_numpy(zero_copy_only=False) for k in (3, 4))
+                found = np.zeros(len(batch), bool)
+                for end in [*starts, len(batch)]:
+                    if at < end:
+                        found[at:end] = own.contains(h1[at:end], h2[at:end])
+                    if end < len(batch):
+                        own = Cuckoo(state=batch.column(2)[end].as_py())
+                    at = end + 1
+                yield batch.select([3, 4, 5]).filter(pa.array(found))
+
+        return ordered.mapInArrow(rows, "h1 long, h2 long, doc_id long")
 
     def decisions(self, postings: DataFrame) -> DataFrame:
-        """(doc_id, drop): the keys, as 16 bytes each, whose lines a document loses."""
+        """(doc_id, drop): the keys, as 16 bytes each, whose lines a document loses. postings should be a stored table."""
         often = self.refs.where(F.col("n_docs") >= self.min_docs)
-        lost = self._probed(postings).join(often, KEY).where("doc_id <> max_doc")
+        # a hot line's documents are confirmed in parts; HOT_LINES keys at most hold more than this
+        least = max(PART_POSTINGS, -(-(often.agg(F.sum("n_docs")).first()[0] or 0) // HOT_LINES))
+        parts = F.ceil(F.col("n_docs") / least).cast("long")
+        hot = F.broadcast(often.where(F.col("n_docs") > least).select(*KEY, parts.alias("parts")))
+        asked = self._probed(postings).join(hot, KEY, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0).cast("long")))
+        counts = often.select(*KEY, "max_doc", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+        lost = asked.join(counts, [*KEY, "part"]).where("doc_id <> max_doc")
         return lost.groupBy("doc_id").agg(F.collect_list(F.struct(*KEY)).alias("drop"))
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """docs with text rewritten, n_lines and n_dropped."""
-        return rewritten(docs, self.decisions(self._keys(docs, self.min_length)), self.min_length)
+        with Scratch(docs.sparkSession) as scratch:
+            drop = stored(self.decisions(scratch(self._keys(docs, self.min_length).distinct(), "line-asked")), "line-decisions")
+        return rewritten(docs, drop, self.min_length)
 
 
 def rewritten(docs: DataFrame, drop: DataFrame, min_length: int) -> DataFrame:
     """docs without the lines of the keys in drop (doc_id, drop), with n_lines and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
-    marked = docs.join(drop.select(F.col("doc_id").alias("_drop_doc"), F.col("drop").alias("_drop_keys")), F.col("doc_id") == F.col("_drop_doc"), "left").drop("_drop_doc")
+    doc, keys = unused("_doc", docs), unused("_keys", docs)
+    marked = docs.join(drop.select(F.col("doc_id").alias(doc), F.col("drop").alias(keys)), F.col("doc_id") == F.col(doc), "left").drop(doc)
     at = names.index("text")
 
     def rows(batches):

@@ -16,12 +16,12 @@ from oracle import DATA
 from strandlake.llm import chat, decontaminate, graph, jaccard, langid, linededup, packing, pii, tokens, topk, toxicity
 from strandlake.llm.common import Scratch
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, sig long"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, sig long, _leak int, _copy int, _doc int, _keys int, n_lines int"
 
 
 def docs_of(spark, texts, ids=None):
     ids = range(len(texts)) if ids is None else ids
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.5, 1) for i, t in zip(ids, texts)], DOCS)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.5, *[1] * 6) for i, t in zip(ids, texts)], DOCS)
 
 
 def prose(rng, n, vocabulary=400):
@@ -90,24 +90,37 @@ def test_line_dedup(spark):
     rows += [(40, None), (41, ""), (41, pool[0]), (None, pool[0]), (42, "\n\n"), (43, "\n".join(pool * 50)), (5, rows[5][1])]
     docs = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
     got = linededup.dedup_lines(docs)
-    assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
+    assert got.columns == [*docs.drop("n_lines").columns, "n_lines", "n_dropped"]
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got.collect()) == plain_lines(rows)
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
 
 
-def test_line_index_is_reversible(spark):
+@pytest.mark.parametrize("shard, part, layers", [(50_000, 100_000, 8), (2, 3, 2), (1, 1, 1)])
+def test_line_index_is_reversible(spark, monkeypatch, shard, part, layers):
+    """Small numbers: many shards, a hot key in many parts, filters made anew as keys come, tables put together."""
+    monkeypatch.setattr(linededup, "SHARD_KEYS", shard)
+    monkeypatch.setattr(linededup, "PART_POSTINGS", part)
+    monkeypatch.setattr(linededup, "LAYERS", layers)
     rng = random.Random(3)
     pool = [prose(rng, 8) for _ in range(12)]
-    rows = [(i, "\n".join(rng.sample(pool, 3))) for i in range(20)]
+    rows = [(i, "\n".join([pool[0], *rng.sample(pool[1:], 2)])) for i in range(20)]
     of = lambda r: docs_of(spark, [t for _, t in r], [i for i, _ in r])
-    first = linededup.LineIndex.build(of(rows[:12]))
+    first = linededup.LineIndex.build(of(rows[:4]))
+    first = first.insert(of(rows[:12]))
     both = first.insert(of(rows[8:]))
+    assert shard > 2 or both.shards > 2
     back = both.delete(of(rows[12:]))
+    again = back.insert(of(rows[12:]))
     refs = lambda x: sorted(map(tuple, x.refs.select("h1", "h2", "n_docs", "max_doc").collect()))
     assert refs(first) == refs(back) and refs(both) != refs(first)
-    assert refs(both) == refs(linededup.LineIndex.build(of(rows)))
-    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in both.apply(of(rows)).collect()) == plain_lines(rows)
-    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in back.apply(of(rows[:12])).collect()) == plain_lines(rows[:12])
+    assert refs(both) == refs(linededup.LineIndex.build(of(rows))) == refs(again)
+    for index, own in ((both, rows), (back, rows[:12]), (again, rows)):
+        assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in index.apply(of(own)).collect()) == plain_lines(own)
+        # the filters hold few keys beyond those found often
+        postings = index.postings
+        passed = index._probed(postings).count()
+        often = postings.join(index.refs.where("n_docs >= 3"), ["h1", "h2"]).count()
+        assert often <= passed < postings.count()
 
 
 def test_cuckoo_filter():
