@@ -140,20 +140,44 @@ def test_cuckoo_filter():
 # 3
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("rows, queries, meet", [(4096, 128, 64), (16, 4, 2)])
+def test_top_k(spark, monkeypatch, rows, queries, meet):
+    for name, n in (("ROWS", rows), ("QUERIES", queries), ("MEET", meet)):
+        monkeypatch.setattr(topk, name, n)
     rng = np.random.default_rng(5)
-    rows = [(i, [float(x) for x in rng.normal(size=8)], 0) for i in range(130)]
-    rows += [(130, None, 0), (131, [1.0, None] * 4, 0), (132, [float("nan")] * 8, 0), (133, [float("inf")] * 8, 0), (134, rows[3][1], 0), (None, rows[3][1], 0), (135, [1e9] * 8, 1), (136, [], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    vectors = [(i, [float(x) for x in rng.normal(size=8) * (20 if i % 7 == 0 else 1)], 0) for i in range(130)]
+    vectors += [(130, None, 0), (131, [1.0, None] * 4, 0), (132, [float("nan")] * 8, 0), (133, [float("inf")] * 8, 0), (134, vectors[3][1], 0), (None, vectors[3][1], 0), (135, [1e9] * 8, 1), (136, [], 0)]
+    vectors += [(140, [1e30, -1e30] * 4, 1), (141, [-1e300] * 8, 1), (150, [1e12] * 3, 1), *[(200 + i, vectors[10][1], 0) for i in range(40)], *[(260, vectors[20][1], 0)] * 3]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, score int")
     got = defaultdict(list)
     for r in topk.top_k(df, df.where("vec_id % 10 = 0"), 5).orderBy("rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
-    q = {i: [int(np.floor(256 * x)) for x in v] for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    for i in (i for i in q if i % 10 == 0):
-        best = sorted((-sum(a * b for a, b in zip(q[i], v)), j) for j, v in q.items() if j != i)[:5]
-        assert got.pop(i) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    long = lambda x: max(-(2**63), min(2**63 - 1, x))
+    q = [(i, [long(int(np.floor(256 * x))) if np.isfinite(256 * x) else (2**63 - 1) * int(np.sign(x)) - (x < 0) for x in v]) for i, v, _ in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    for i in sorted({i for i, _ in q if i % 10 == 0}):
+        pairs = sorted((-long(sum(a * b for a, b in zip(u, v))), j) for own, u in q if own == i for j, v in q if j != i)[:5]
+        assert got.pop(i) == [(n + 1, j, -s) for n, (s, j) in enumerate(pairs)], i
     assert not got
     assert topk.top_k(df.limit(0), df, 5).count() == 0
+    assert topk.top_k(df, df.limit(0), 5).count() == 0
+    assert topk.top_k(df.where("vec_id < 3"), df.where("vec_id = 0"), 5).count() == 2
+
+
+def test_threshold_prunes():
+    """What no node collects isn't resolved; short rows aren't multiplied."""
+    rng = np.random.default_rng(6)
+    q, v = rng.integers(-9, 9, (20, 8)), rng.integers(-9, 9, (500, 8))
+    cuts, whole = topk._slices(8), q @ v.T
+    low = np.sort(whole, axis=1)[:, -5]
+    r, c, total = topk._collected(q, v, cuts, low)
+    assert len(r) < 0.3 * whole.size and (total == whole[r, c]).all()
+    found = {(int(a), int(b)) for a, b, t in zip(r, c, total) if t >= low[a]}
+    assert found == set(zip(*(x.tolist() for x in np.nonzero(whole >= low[:, None]))))
+    assert not len(topk._collected(q, v, cuts, low * 20)[0])
+    v[::3, :4] = 0  # too short for the first node
+    low = np.sort(q @ v.T, axis=1)[:, -5]
+    r, c, total = topk._collected(q, v, cuts, low)
+    assert (total == (q @ v.T)[r, c]).all() and {*np.flatnonzero(((q @ v.T) >= low[:, None]).any(0))} <= {*c}
 
 
 # 4
