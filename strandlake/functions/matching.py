@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from .columns import unused
+
 
 def contains(text: Column, pattern: str) -> Column:
     """Whether there is any match; no positions are made."""
@@ -58,8 +60,9 @@ def find_patterns(df: DataFrame, text: str, patterns: list[str]) -> DataFrame:
     def matches(p: str) -> Column:
         return F.transform(find_all(F.col(text), p), lambda i: F.struct(F.lit(p).alias("pattern"), i.alias("position")))
 
-    found = df.withColumn("_found", F.concat(*map(matches, patterns)))
-    return found.select(*df.columns, F.inline("_found"))
+    own = unused("_found", df)
+    found = df.withColumn(own, F.concat(*map(matches, patterns)))
+    return found.select(*df.columns, F.inline(own))
 
 
 def kmp_borders(pattern: str) -> list[int]:

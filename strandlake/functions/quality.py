@@ -36,12 +36,13 @@ def offset(encoding: str) -> int:
     return OFFSETS[encoding]
 
 
-def decode_phred(letter: Column, encoding: str) -> Column:
-    """Score of a letter; an error for a letter under the encoding's range."""
+def decode_phred(letter: Column, encoding: str, strict: bool = True) -> Column:
+    """Score of a letter; an error for a letter under the encoding's range, or null if not strict."""
     raw = F.ascii(letter) - OFFSETS[encoding]
     if encoding == "solexa":
         return solexa_to_phred(raw)
-    return F.when(raw >= 0, raw).when(raw < 0, F.raise_error(F.lit("quality letter under the encoding's range")).cast("int"))
+    good = F.when(raw >= 0, raw)
+    return good.when(raw < 0, F.raise_error(F.lit("quality letter under the encoding's range")).cast("int")) if strict else good
 
 
 def encode_phred(phred: Column, encoding: str) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import ceil, log2
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -56,6 +58,56 @@ class RankTransform:
         return F.transform(at, gram)
 
 
+#: Bits of a q-gram that are counted in an array by a task; longer ones are counted by sorting, so many at a time.
+COUNTED_BITS, SORTED = 20, 1 << 22
+
+
+def qgram_counts(df: DataFrame, text: str, ranks: RankTransform, q: int) -> DataFrame:
+    """(qgram, n): how often each packed q-gram is in the texts. Tasks count before anything moves, and no q-gram becomes a row.
+
+    Null texts have none; a letter outside the alphabet is an error. The q-grams are those of ``RankTransform.qgrams``.
+    """
+    if q < 1 or q * ranks.width > 64:
+        raise ValueError("q-grams need 1 to 64 bits")
+    alphabet, width = ranks.alphabet, ranks.width
+
+    def rows(batches):
+        codes = np.array([ord(c) for c in alphabet], np.uint32)
+        counted = q * width <= COUNTED_BITS
+        total = np.zeros(1 << q * width if counted else 0, np.int64)
+        held, size = [], 0
+
+        def sent(grams, n):
+            return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["qgram", "n"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t is None or len(t) < q:
+                    continue
+                letters = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+                rank = np.searchsorted(codes, letters)
+                if (codes[np.minimum(rank, len(codes) - 1)] != letters).any():
+                    raise ValueError("a letter has no rank")
+                grams = np.zeros(len(t) - q + 1, np.uint64)
+                for j in range(q):
+                    grams = (grams << np.uint64(width)) | rank[j : j + len(grams)].astype(np.uint64)
+                if counted:
+                    total += np.bincount(grams.astype(np.int64), minlength=len(total))
+                    continue
+                held.append(grams)
+                size += len(grams)
+                if size >= SORTED:
+                    yield sent(*np.unique(np.concatenate(held), return_counts=True))
+                    held, size = [], 0
+        if held:
+            yield sent(*np.unique(np.concatenate(held), return_counts=True))
+        found = np.flatnonzero(total).astype(np.uint64)
+        if len(found):
+            yield sent(found, total[found.astype(np.int64)])
+
+    return df.select(text).mapInArrow(rows, "qgram long, n long").groupBy("qgram").agg(F.sum("n").alias("n"))
+
+
 @dataclass(frozen=True)
 class BitEncoding:
     """Values of 1 to 8 bits in 32-bit blocks (as longs); values are always masked to the width."""

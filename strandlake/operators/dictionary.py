@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.functions.columns import unused
+
 #: Rows of a dictionary that is broadcast at most; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -19,11 +21,12 @@ def resolve(alignments: DataFrame, refs: DataFrame) -> DataFrame:
     names = by_name(refs)
     if refs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         names = F.broadcast(names)
-    own, mate = names.select(F.col("name").alias("rname"), "tid"), names.select(F.col("name").alias("rnext"), F.col("tid").alias("_mate"))
+    other = unused("_mate", alignments)
+    own, mate = names.select(F.col("name").alias("rname"), "tid"), names.select(F.col("name").alias("rnext"), F.col("tid").alias(other))
     out = alignments.drop("tid", "mtid").join(own, "rname", "left").join(mate, "rnext", "left")
     tid = F.coalesce("tid", F.lit(-1))
-    mtid = F.when(F.col("rnext") == "=", tid).otherwise(F.coalesce("_mate", F.lit(-1)))
-    return out.withColumn("mtid", mtid).withColumn("tid", tid).drop("_mate")
+    mtid = F.when(F.col("rnext") == "=", tid).otherwise(F.coalesce(other, F.lit(-1)))
+    return out.withColumn("mtid", mtid).withColumn("tid", tid).drop(other)
 
 
 def ref_name(names: Column, tid: Column) -> Column:

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 #: A type object: workers import this module without a session that could parse a name.
 LONGS = ArrayType(LongType())
@@ -75,9 +75,10 @@ def lcp(text: pd.Series, sa: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else _lcp(_symbols(t), np.asarray(p)) for t, p in zip(text, sa)])
 
 
-def bwt(text: Column, sa: Column) -> Column:
+@F.pandas_udf(StringType())
+def bwt(text: pd.Series, sa: pd.Series) -> pd.Series:
     """The letter before each suffix, the last one for the first (texts of one byte a letter)."""
-    return F.array_join(F.transform(sa, lambda p: F.when(p == 0, F.right(text, F.lit(1))).otherwise(F.substring(text, p.cast("int"), F.lit(1)))), "")
+    return pd.Series([None if t is None or p is None else _symbols(t)[np.asarray(p, np.int64) - 1].tobytes().decode("utf-8", "replace") for t, p in zip(text, sa)])
 
 
 def less(bwt_text: Column) -> Column:
@@ -126,41 +127,59 @@ def invert_bwt(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-def backward_search(bwt_text: Column, pattern: Column) -> Column:
-    """struct(kind, lower, upper, len): rows [lower, upper) of the suffix array that begin with the pattern.
+class Sampled:
+    """less, and Occ at every ``EVERY``-th row; a count in between is taken from the rows after the last sample."""
+
+    EVERY = 128
+
+    def __init__(self, bwt_text: str):
+        self.symbols = _symbols(bwt_text)
+        counts = np.bincount(self.symbols, minlength=256)
+        self.less = np.concatenate(([0], np.cumsum(counts)))
+        self.samples: dict[int, np.ndarray] = {}
+
+    def occ(self, code: int, rows: int) -> int:
+        """How often the letter is in the first so many rows."""
+        marks = self.samples.get(code)
+        if marks is None:
+            hits = np.add.reduceat(self.symbols == code, np.arange(0, len(self.symbols), self.EVERY), dtype=np.int64) if len(self.symbols) else np.zeros(0, np.int64)
+            marks = self.samples[code] = np.concatenate(([0], np.cumsum(hits)))
+        k = rows // self.EVERY
+        return int(marks[k] + np.count_nonzero(self.symbols[k * self.EVERY : rows] == code))
+
+    def search(self, pattern: str) -> tuple[str, int | None, int | None, int | None]:
+        low, high, done = 0, len(self.symbols), 0
+        codes = pattern.encode("utf-8", "surrogatepass")
+        for code in reversed(codes):
+            a, b = (int(self.less[code]) + self.occ(code, r) for r in (low, high))
+            if a >= b:
+                break
+            low, high, done = a, b, done + 1
+        if not done:
+            return "absent", None, None, None
+        return ("complete", low, high, None) if done == len(codes) else ("partial", low, high, done)
+
+
+HIT = StructType([StructField("kind", StringType()), StructField("lower", LongType()), StructField("upper", LongType()), StructField("len", IntegerType())])
+
+
+@F.pandas_udf(HIT)
+def backward_search(bwt_text: pd.Series, pattern: pd.Series) -> pd.DataFrame:
+    """struct(kind, lower, upper, len): rows [lower, upper) of the suffix array that begin with the pattern (texts of one byte a letter).
 
     ``complete``; ``partial``: only the last len letters occur, with their rows; ``absent``: not even the last
-    letter, or an empty pattern.
+    letter, or an empty pattern. The sampled counts of a text are made once for patterns that follow one another.
     """
-    n = F.length(bwt_text).cast("long")
-    below = lambda c: F.length(bwt_text).cast("long") - F.size(F.filter(F.split(bwt_text, ""), lambda x: (x >= c) & (x != ""))).cast("long")
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("l"), n.alias("u"), zero.alias("len"), F.lit(True).alias("ok"))
-
-    def step(s: Column, c: Column) -> Column:
-        low = below(c) + F.when(s["l"] > 0, occ(bwt_text, s["l"] - 1, c)).otherwise(zero)
-        high = below(c) + F.when(s["u"] > 0, occ(bwt_text, s["u"] - 1, c)).otherwise(zero)
-        good = s["ok"] & (low < high)
-        return F.struct(
-            F.when(good, low).otherwise(s["l"]).alias("l"),
-            F.when(good, high).otherwise(s["u"]).alias("u"),
-            (s["len"] + F.when(good, 1).otherwise(0)).cast("long").alias("len"),
-            good.alias("ok"),
-        )
-
-    letters = F.filter(F.split(F.reverse(pattern), ""), lambda c: c != "")
-
-    def finish(s: Column) -> Column:
-        found = s["len"] > 0
-        kind = F.when(~found, "absent").when(s["ok"], "complete").otherwise("partial")
-        return F.struct(
-            kind.alias("kind"),
-            F.when(found, s["l"]).alias("lower"),
-            F.when(found, s["u"]).alias("upper"),
-            F.when(kind == "partial", s["len"].cast("int")).alias("len"),
-        )
-
-    return F.aggregate(letters, start, step, finish)
+    last, index, out = None, None, []
+    for b, p in zip(bwt_text, pattern):
+        if b is None or p is None:
+            out.append((None, None, None, None))
+            continue
+        if index is None or b != last:
+            last, index = b, Sampled(b)
+        out.append(index.search(p))
+    found = pd.DataFrame(out, columns=["kind", "lower", "upper", "len"], dtype=object)
+    return found.astype({"lower": "Int64", "upper": "Int64", "len": "Int32"})
 
 
 def occurrences(sa: Column, interval: Column) -> Column:

@@ -1,8 +1,9 @@
-"""Substitution scores: the PAM family by rule, any other matrix from its published text.
+"""Substitution scores: the PAM family by rule, BLOSUM 30, 45 and 62 as published, others from a file.
 
 PAM n is the n-th power of the one-step mutation matrix of Dayhoff, Schwartz and Orcutt (1978),
-as rounded log odds. BLOSUM matrices can't be derived from a rule, so they are a parameter: a
-file in the usual text format (a line of letters, then a row for each).
+as rounded log odds; where published tables differ from that, they count. BLOSUM scores of the 20 residues
+are fixed values. Letters for several residues follow rules: B and Z are means of the two residues they
+stand for, J is that of I and L, U and O score as X does.
 """
 
 from __future__ import annotations
@@ -38,13 +39,96 @@ MUTATIONS = """
 """
 MUTABILITY = [100, 65, 134, 106, 20, 93, 102, 49, 66, 96, 40, 56, 94, 41, 56, 120, 97, 18, 41, 74]
 FREQUENCY = [0.087, 0.041, 0.040, 0.047, 0.033, 0.038, 0.050, 0.089, 0.034, 0.037, 0.085, 0.081, 0.015, 0.040, 0.051, 0.070, 0.058, 0.010, 0.030, 0.065]
+# Cells of the published tables that differ from the rule.
+PAM_PUBLISHED = {
+    40: "CC 9",
+    120: "BC -6 PS 1 WY -2",
+    200: "AT 1 CC 12 CF -6 CN -5 IR -2 NT 0 QV -3 EW -9 MY -3 BB 3",
+    250: "BX -1 GP 0 II 5 PW -6 QS -1 QX -1 RV -2",
+}
+# Fixed values (Henikoff and Henikoff 1992): scores of the residues on and below the diagonal, in the order of RESIDUES.
+BLOSUM = {
+    30: """
+4
+-1 8
+0 -2 8
+0 -1 1 9
+-3 -2 -1 -3 17
+1 3 -1 -1 -2 8
+0 -1 -1 1 1 2 6
+0 -2 0 -1 -4 -2 -2 8
+-2 -1 -1 -2 -5 0 0 -3 14
+0 -3 0 -4 -2 -2 -3 -1 -2 6
+-1 -2 -2 -1 0 -2 -1 -2 -1 2 4
+0 1 0 0 -3 0 2 -1 -2 -2 -2 4
+1 0 0 -3 -2 -1 -1 -2 2 1 2 2 6
+-2 -1 -1 -5 -3 -3 -4 -3 -3 0 2 -1 -2 10
+-1 -1 -3 -1 -3 0 1 -1 1 -3 -3 1 -4 -4 11
+1 -1 0 0 -2 -1 0 0 -1 -1 -2 0 -2 -1 -1 4
+1 -3 1 -1 -2 0 -2 -2 -2 0 0 -1 0 -2 0 2 5
+-5 0 -7 -4 -2 -1 -1 1 -5 -3 -2 -2 -3 1 -3 -3 -5 20
+-4 0 -4 -1 -6 -1 -2 -3 0 -1 3 -1 -1 3 -2 -2 -1 5 9
+1 -1 -2 -2 -2 -3 -3 -3 -3 4 1 -2 0 1 -4 -1 1 -3 1 5
+""",
+    45: """
+5
+-2 7
+-1 0 6
+-2 -1 2 7
+-1 -3 -2 -3 12
+-1 1 0 0 -3 6
+-1 0 0 2 -3 2 6
+0 -2 0 -1 -3 -2 -2 7
+-2 0 1 0 -3 1 0 -2 10
+-1 -3 -2 -4 -3 -2 -3 -4 -3 5
+-1 -2 -3 -3 -2 -2 -2 -3 -2 2 5
+-1 3 0 0 -3 1 1 -2 -1 -3 -3 5
+-1 -1 -2 -3 -2 0 -2 -2 0 2 2 -1 6
+-2 -2 -2 -4 -2 -4 -3 -3 -2 0 1 -3 0 8
+-1 -2 -2 -1 -4 -1 0 -2 -2 -2 -3 -1 -2 -3 9
+1 -1 1 0 -1 0 0 0 -1 -2 -3 -1 -2 -2 -1 4
+0 -1 0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -1 -1 2 5
+-2 -2 -4 -4 -5 -2 -3 -2 -3 -2 -2 -2 -2 1 -3 -4 -3 15
+-2 -1 -2 -2 -3 -1 -2 -3 2 0 0 -1 0 3 -3 -2 -1 3 8
+0 -2 -3 -3 -1 -3 -3 -3 -3 3 1 -2 1 0 -3 -1 0 -3 -1 5
+""",
+    62: """
+4
+-1 5
+-2 0 6
+-2 -2 1 6
+0 -3 -3 -3 9
+-1 1 0 0 -3 5
+-1 0 0 2 -4 2 5
+0 -2 0 -1 -3 -2 -2 6
+-2 0 1 -1 -3 0 0 -2 8
+-1 -3 -3 -3 -1 -3 -3 -4 -3 4
+-1 -2 -3 -4 -1 -2 -3 -4 -3 2 4
+-1 2 0 -1 -3 1 1 -2 -1 -3 -2 5
+-1 -1 -2 -3 -1 0 -2 -3 -2 1 2 -1 5
+-2 -3 -3 -3 -2 -3 -3 -3 -1 0 0 -3 0 6
+-1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4 7
+1 -1 1 0 -1 0 0 0 -1 -2 -2 0 -1 -2 -1 4
+0 -1 0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1 1 5
+-3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11
+-2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7
+0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
+""",
+}
+# Cells of B, Z and X that differ from the rules (means; -1 for X), and the score of a ``*`` against letters.
+BLOSUM_PUBLISHED = {
+    30: "BN 4 BG 0 BL -1 BW -5 BZ 0 ZA 0 ZR 0 ZC 0 ZQ 4 ZE 5 ZL -1 ZP 0 ZZ 4 XA 0 XN 0 XC -2 XQ 0 XI 0 XL 0 XK 0 XM 0 XS 0 XT 0 XW -2 XV 0 XZ 0",
+    45: "BA -1 BC -2 BH 0 BM -2 BS 0 BT 0 BZ 2 ZR 0 ZH 0 ZF -3 ZW -2 XA 0 XC -2 XS 0 XT 0 XW -2",
+    62: "BN 3 BK 0 BS 0 ZC -3 ZQ 3 ZR 0 XA 0 XC -2 XP -2 XS 0 XT 0 XW -2",
+}
+BLOSUM_STAR = {30: -7, 45: -5, 62: -4}
 #: Score units by distance: half bits up to PAM 120 or so, third bits beyond.
 SCALE = {40: log(2) / 2, 120: log(2) / 2, 200: log(2) / 3, 250: log(2) / 3}
 
 
 @dataclass(frozen=True)
 class Matrix:
-    """Scores by letter; pairs of letters that it doesn't know score as ``*`` does, or the least."""
+    """Scores by letter; letters that it doesn't know score as ``*`` does, or the least."""
 
     letters: str
     rows: tuple[tuple[int, ...], ...]
@@ -86,9 +170,32 @@ def _one_step() -> np.ndarray:
     return step
 
 
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Nearest whole numbers, halves away from zero."""
+    return np.sign(x) * np.floor(np.abs(x) + 0.5)
+
+
+def _finished(scores: np.ndarray, published: str, star: int) -> Matrix:
+    """The matrix of the residues, B, Z and X (scores, before published cells replace some), J, U, O and ``*``."""
+    letters = RESIDUES + "BZX"
+    cells = published.split()
+    for pair, v in zip(cells[::2], cells[1::2]):
+        i, j = map(letters.index, pair)
+        scores[i, j] = scores[j, i] = int(v)
+    i, el, x = (letters.index(c) for c in "ILX")
+    j = _rounded((scores[i] + scores[el]) / 2)
+    own = _rounded((j[i] + j[el]) / 2)
+    more = np.vstack((j, scores[x], scores[x]))  # J, U, O
+    corner = np.array([[own, j[x], j[x]], [j[x], scores[x, x], scores[x, x]], [j[x], scores[x, x], scores[x, x]]])
+    full = np.full((27, 27), star)
+    full[:26, :26] = np.block([[scores, more.T], [more, corner]])
+    full[26, 26] = 1
+    return Matrix(letters + "JUO*", tuple(tuple(int(v) for v in row) for row in full))
+
+
 @lru_cache
 def pam(n: int) -> Matrix:
-    """Scores of the 20 residues, of B and Z (means of what they stand for, by frequency), of X (mean of all) and of ``*``."""
+    """Scores of the 20 residues, of B and Z (means of what they stand for, by frequency), of X (mean of all) and of J, U, O and ``*``."""
     f = np.array(FREQUENCY)
     f = f / f.sum()
     odds = np.linalg.matrix_power(_one_step(), n) / f[:, None]
@@ -100,14 +207,19 @@ def pam(n: int) -> Matrix:
     plain = np.log(np.maximum(odds, 1e-12)) / unit
     real[22, :] = member[22] @ plain @ member.T
     real[:, 22] = real[22, :]
-    scores = np.sign(real) * np.floor(np.abs(real) + 0.5)
-    low = int(scores.min())
-    full = np.full((24, 24), low)
-    full[:23, :23] = scores
-    full[23, 23] = 1
-    return Matrix(RESIDUES + "BZX*", tuple(tuple(int(v) for v in row) for row in full))
+    scores = _rounded(real)
+    return _finished(scores, PAM_PUBLISHED.get(n, ""), int(scores.min()))
 
 
-def blosum(path: str) -> Matrix:
-    """A published BLOSUM matrix from its file."""
-    return Matrix.read(path)
+@lru_cache
+def blosum(n: int) -> Matrix:
+    """BLOSUM 30, 45 or 62; others are read from a file by ``Matrix.read``."""
+    scores = np.full((23, 23), -1.0)
+    for i, line in enumerate(BLOSUM[n].split("\n")[1:-1]):
+        scores[i, : i + 1] = scores[: i + 1, i] = [int(v) for v in line.split()]
+    pairs = [[RESIDUES.index(c) for c in pair] for pair in ("ND", "QE")]
+    for k, own in enumerate(pairs, 20):
+        scores[k, :20] = scores[:20, k] = _rounded(scores[own, :20].mean(0))
+        for m, other in enumerate(pairs, 20):
+            scores[k, m] = _rounded(scores[np.ix_(own, other)].mean())
+    return _finished(scores, BLOSUM_PUBLISHED[n], BLOSUM_STAR[n])

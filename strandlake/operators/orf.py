@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, ByteType, LongType, StructField, StructType
 
+from strandlake.functions.columns import unused
+
 ORF = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("offset", ByteType())]))
 
 
@@ -32,6 +34,11 @@ def scan(seq: str, codons: re.Pattern, starts: frozenset[str], stops: frozenset[
     return out
 
 
+def codon_pattern(starts: list[str], stops: list[str]) -> re.Pattern:
+    """Every place where one of the codons begins."""
+    return re.compile(f"(?=({'|'.join(map(re.escape, dict.fromkeys((*starts, *stops))))}))", re.S) if starts or stops else re.compile("(?!)()")
+
+
 def open_reading_frames(seq: Column, starts: list[str], stops: list[str], min_length: int) -> Column:
     """An array of (start, end, offset): each start codon with the next stop codon of its frame, itself included.
 
@@ -40,7 +47,7 @@ def open_reading_frames(seq: Column, starts: list[str], stops: list[str], min_le
     """
     if any(len(c) != 3 for c in (*starts, *stops)):
         raise ValueError("codons have three letters")
-    codons = re.compile(f"(?=({'|'.join(map(re.escape, dict.fromkeys((*starts, *stops))))}))", re.S) if starts or stops else re.compile("(?!)()")
+    codons = codon_pattern(starts, stops)
     first, last = frozenset(starts), frozenset(stops)
 
     @F.pandas_udf(ORF)
@@ -52,5 +59,6 @@ def open_reading_frames(seq: Column, starts: list[str], stops: list[str], min_le
 
 def find_orfs(df: DataFrame, seq: str, starts: list[str], stops: list[str], min_length: int) -> DataFrame:
     """Rows of df by reading frame: start, end and offset are added."""
-    found = df.withColumn("_orfs", open_reading_frames(F.col(seq), starts, stops, min_length))
-    return found.select(*df.columns, F.inline("_orfs"))
+    own = unused("_orfs", df)
+    found = df.withColumn(own, open_reading_frames(F.col(seq), starts, stops, min_length))
+    return found.select(*df.columns, F.inline(own))

@@ -5,6 +5,8 @@ Prose becomes sequences by ``derived_dna``; DNA in the SQL below is the same rul
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from strandlake.functions.alphabet import (
     three_letter,
 )
 from strandlake.functions.ranks import BitEncoding, RankTransform
+from strandlake.functions.ranks import qgram_counts as count_qgrams
 from strandlake.operators import align, fulltext, length_stats as ls, matrices, orf
 from strandlake.operators.stored import fresh
 from strandlake.sources import bam, fastx, sam
@@ -263,9 +266,17 @@ g AS (SELECT {" + ".join(f"(lead(r, {j}) OVER w << {14 - 2 * j})" for j in range
 SELECT CAST(g AS BIGINT) AS qgram, CAST(count(*) AS BIGINT) AS n FROM g WHERE g IS NOT NULL GROUP BY 1"""
 )
 def qgram_counts(spark, sf_dir):
-    ranks = RankTransform("ACGT")
-    grams = dna_of(spark, sf_dir).select(ranks.transform(F.col("s")).alias("r")).select(F.explode(ranks.packed(8, F.col("r"))).alias("qgram"))
-    return grams.groupBy("qgram").agg(F.count("*").alias("n"))
+    return count_qgrams(dna_of(spark, sf_dir), "s", RankTransform("ACGT"), 8)
+
+
+@query(
+    f"""{SHORT}, c AS (SELECT item_id, unnest(range(0, length(t) - 1)) AS p, unnest(list_transform(string_split(left(t, length(t) - 1), ''), lambda c: CAST(instr('ACGT', c) - 1 AS BIGINT))) AS r FROM b),
+g AS (SELECT item_id, p, {" + ".join(f"(lead(r, {j}) OVER w << {4 - 2 * j})" for j in range(3))} AS g FROM c WINDOW w AS (PARTITION BY item_id ORDER BY p))
+SELECT item_id, list(CAST(g AS BIGINT) ORDER BY p) AS qgrams FROM g WHERE g IS NOT NULL GROUP BY 1"""
+)
+def qgram_rows(spark, sf_dir):
+    rows = short_texts(spark, sf_dir)
+    return rows.select("item_id", RankTransform("ACGT").qgrams(3, F.rtrim("t", F.lit("$"))).alias("qgrams")).where("size(qgrams) > 0")
 
 
 @query(
@@ -527,11 +538,45 @@ def bam_round_trip(spark, sf_dir):
     rows = resolve(_alignments(spark, sf_dir), refs)
     path = fresh(spark, "a.bam")
     bam.write_bam(bam.packed_rows(rows), path, HEADER, REFS)
-    got = bam.read_written(spark, path)
-    seq = af.packed_bases(F.col("seq_packed"), F.col("l_seq"))
-    text = F.array_join(F.transform(F.split(F.rtrim(F.regexp_replace(F.hex("qual_raw"), "(..)", "$1 ")), " "), lambda h: F.chr(F.conv(h, 16, 10).cast("int") + 33)), "")
-    qual = F.when(af.quality_unavailable(F.col("qual_raw")), "").otherwise(text)
-    return got.select("qname", "flag", "tid", "pos", "cigar", seq.alias("seq"), qual.alias("qual"), "tlen")
+    return bam.read_bam(spark, f"{path}/part-*").select("qname", "flag", "tid", "pos", "cigar", "seq", "qual", "tlen")
+
+
+@query(
+    f"""{ALIGNED_SQL}
+SELECT qname, (['ref1', 'ref2', 'ref1'])[tid + 1] AS ref, CAST(([45, 40, 50])[tid + 1] AS BIGINT) AS ref_length, n + 2 AS l_seq, CAST(0 AS INTEGER) AS bin,
+  'NM:i:' || (k % 200) || chr(9) || 'XZ:Z:n' || n || chr(9) || 'XB:B:C,' || (k % 50) || ',7' || chr(9) || 'XF:f:1.5' || chr(9) || 'XA:A:q' AS aux,
+  CAST(k % 50 + 7 AS BIGINT) AS arr_sum, 'C' AS sub, CAST(k % 200 AS BIGINT) AS nm, CASE WHEN k % 2 = 1 THEN 20 END AS phred, 'G' AS first_base
+FROM (SELECT qname, k, CAST(n AS BIGINT) AS n, CAST(tid AS INTEGER) AS tid FROM m)"""
+)
+def bam_fields(spark, sf_dir):
+    """Binary optional fields, references by ordinal and packed qualities, through BAM files."""
+    from strandlake.operators.dictionary import ref_length, ref_name, resolve
+
+    refs = spark.createDataFrame([(k, n, size) for k, (n, size) in enumerate(REFS)], "tid int, name string, len bigint")
+    byte = lambda c: F.unhex(F.lpad(F.hex(c), 2, "0"))
+    raw = lambda b: F.lit(b).cast("binary")
+    k, n = F.col("nm"), F.split("qname", "/")[1]
+    aux = F.concat(raw(b"NMC"), byte(k % 200), raw(b"XZZn"), F.encode(n, "UTF-8"), raw(b"\0XBBC\x02\0\0\0"), byte(k % 50), raw(b"\x07XFf\0\0\xc0\x3fXAAq"))
+    path = fresh(spark, "b.bam")
+    bam.write_bam(bam.packed_rows(resolve(_alignments(spark, sf_dir), refs).withColumn("aux_raw", aux)), path, HEADER, REFS)
+    dictionary = bam.read_bam_refs(spark, f"{path}/part-*").select("tid", "name", "len").distinct()
+    own = [(r.name, r.len) for r in dictionary.orderBy("tid").collect()]  # one header's references
+    got = bam.read_bam(spark, f"{path}/part-*").withColumn("aux", bam.aux_as_text("aux_raw")).withColumn("x", af.aux_fields(F.col("aux")))
+    names, lengths = (F.array(*(F.lit(r[c]) for r in own)) for c in (0, 1))
+    tid, array = F.col("tid"), af.aux_get(F.col("x"), "XB")
+    return got.select(
+        "qname",
+        ref_name(names, tid).alias("ref"),
+        ref_length(lengths, tid).alias("ref_length"),
+        "l_seq",
+        "bin",
+        "aux",
+        F.aggregate(af.array_ints(array), F.lit(0).cast("long"), lambda a, v: a + v).alias("arr_sum"),
+        array["sub"].alias("sub"),
+        af.aux_get(F.col("x"), "NM")["i"].alias("nm"),
+        F.when(~af.quality_unavailable(F.col("qual_raw")), af.phred_at(F.col("qual"), F.lit(0))).alias("phred"),
+        F.left(af.packed_bases(F.col("seq_packed"), F.col("l_seq")), F.lit(1)).alias("first_base"),
+    )
 
 
 # --- alignment
@@ -552,17 +597,191 @@ def pairwise_alignment(spark, sf_dir):
     return rows.select("a", "b", *(F.col(f"{m}.score").alias(f"{m}_score") for m in ("global", "semiglobal", "local", "custom")), F.size("local.operations").alias("local_ops"))
 
 
+@query(
+    f"""WITH p AS (SELECT item_id, {DNA} AS s FROM benchmark)
+SELECT x.item_id AS a, y.item_id AS b, CAST(-levenshtein(x.s, y.s) AS INTEGER) AS score, CAST(levenshtein(x.s, y.s) AS INTEGER) AS edits,
+  CAST(length(x.s) AS INTEGER) AS of_x, CAST(length(y.s) AS INTEGER) AS of_y, CAST(0 AS INTEGER) AS xstart, CAST(length(x.s) AS INTEGER) AS xend, CAST(length(y.s) AS INTEGER) AS yend
+FROM p x JOIN p y ON y.item_id = x.item_id + 1"""
+)
+def unit_cost_alignment(spark, sf_dir):
+    """Global alignment where each edit costs one: its score is the edit distance, and so is the number of its edits."""
+    ops = F.col("r.operations")
+    of = lambda *kinds: F.size(F.filter(ops, lambda o: o["op"].isin(*kinds)))
+    rows = _pairs(spark, sf_dir).select("a", "b", align.alignment(align.Scoring(-1, -1, align.MatchScore(0, -1)), "global")("x", "y").alias("r"))
+    return rows.select(
+        "a", "b", "r.score", of("ins", "del", "subst").alias("edits"), of("match", "subst", "ins").alias("of_x"), of("match", "subst", "del").alias("of_y"), "r.xstart", "r.xend", "r.yend"
+    )
+
+
+def _cases():
+    """(name, mode, scoring, x, y) of pairs whose best alignments are known."""
+    plain, cheap = align.MatchScore(1, -1), align.MatchScore(1, -5)
+    blosum = align.FunctionScore(matrices.blosum(62).by_code)
+    long = ("ACCGTGGAT", "AAAAACCGTTGAT")
+    return [
+        ("semiglobal", "semiglobal", align.Scoring(-5, -1, plain), *long),
+        ("gaps under a mismatch", "semiglobal", align.Scoring(-1, -1, cheap), *long),
+        ("global", "global", align.Scoring(-5, -1, plain), *long),
+        ("one long insertion", "global", align.Scoring(-5, -1, align.MatchScore(1, -3)), "ACGAGAACA", "ACGACA"),
+        ("local", "local", align.Scoring(-5, -1, plain), *long),
+        ("protein, global", "global", align.Scoring(-5, -1, blosum), "AAAA", "AAAA"),
+        ("protein, local", "local", align.Scoring(-10, -1, blosum), "LSPADKTNVKAA", "PEEKSAV"),
+        ("free clips of y", "custom", align.Scoring(-5, -1, plain).yclip(0), *long),
+        ("a function", "global", align.Scoring(-3, -1, align.FunctionScore(lambda a, b: 2 if a == b else -2)), "ACGT", "AGT"),
+    ]
+
+
+@query(
+    """SELECT name, mode, CAST(score AS INTEGER) AS score, CAST(xstart AS INTEGER) AS xstart, CAST(xend AS INTEGER) AS xend,
+  CAST(ystart AS INTEGER) AS ystart, CAST(yend AS INTEGER) AS yend, ops FROM (VALUES
+  ('semiglobal', 'semiglobal', 7, 0, 9, 4, 13, 'MMMMMSMMM'),
+  ('gaps under a mismatch', 'semiglobal', 6, 0, 9, 4, 13, 'MMMMDMIMMM'),
+  ('global', 'global', -1, 0, 9, 0, 13, 'DDDDMMMMMSMMM'),
+  ('one long insertion', 'global', -1, 0, 9, 0, 6, 'MMMIIIMMM'),
+  ('local', 'local', 7, 0, 9, 4, 13, 'MMMMMSMMM'),
+  ('protein, global', 'global', 16, 0, 4, 0, 4, 'MMMM'),
+  ('protein, local', 'local', 16, 2, 9, 0, 7, 'MSSMSSM'),
+  ('free clips of y', 'custom', 7, 0, 9, 4, 13, 'Y4MMMMMSMMM'),
+  ('a function', 'global', 3, 0, 4, 0, 3, 'MIMM')) t(name, mode, score, xstart, xend, ystart, yend, ops)"""
+)
+def alignment_cases(spark, sf_dir):
+    """Every mode, affine gaps, clips and both kinds of scores, on pairs whose best alignments are known."""
+    letters = {"match": "M", "subst": "S", "ins": "I", "del": "D", "xclip": "X", "yclip": "Y"}
+    out = None
+    for name, mode, scoring, x, y in _cases():
+        one = spark.createDataFrame([(name, mode, x, y)], "name string, mode string, x string, y string")
+        one = one.select("name", "mode", align.alignment(scoring, mode)("x", "y").alias("r"))
+        out = one if out is None else out.unionByName(one)
+    letter = F.create_map(*(F.lit(v) for pair in letters.items() for v in pair))
+    ops = F.array_join(F.transform("r.operations", lambda o: F.concat(letter[o["op"]], F.coalesce(o["n"].cast("string"), F.lit("")))), "")
+    return out.select("name", "mode", "r.score", "r.xstart", "r.xend", "r.ystart", "r.yend", ops.alias("ops"))
+
+
 @query()
 def protein_alignment(spark, sf_dir):
-    """Local alignment of prose under PAM 120."""
-    scoring = align.Scoring(-10, -1, align.FunctionScore(matrices.pam(120).by_code))
+    """Local alignment of prose under BLOSUM 62."""
+    scoring = align.Scoring(-10, -1, align.FunctionScore(matrices.blosum(62).by_code))
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("t"))
     pairs = rows.select(F.col("item_id").alias("a"), F.col("t").alias("x"), (F.col("item_id") + 1).alias("b")).join(rows.select(F.col("item_id").alias("b"), F.col("t").alias("y")), "b")
     return pairs.select("a", "b", align.alignment(scoring, "local")("x", "y").alias("r")).select("a", "b", "r.score", "r.xstart", "r.xend", "r.ystart", "r.yend")
 
 
+MATRICES = {"blosum30": (matrices.blosum, 30), "blosum45": (matrices.blosum, 45), "blosum62": (matrices.blosum, 62)} | {f"pam{n}": (matrices.pam, n) for n in (40, 120, 200, 250)}
+
+
 @query()
 def substitution_scores(spark, sf_dir):
-    """The PAM family as a table."""
-    rows = [(f"pam{n}", a, b, m.score(a, b)) for n in (40, 120, 200, 250) for m in (matrices.pam(n),) for a in m.letters for b in m.letters]
+    """All seven matrices as a table; ``matrix_cells`` holds cells of each against published ones."""
+    rows = [(name, a, b, m.score(a, b)) for name, (of, n) in MATRICES.items() for m in (of(n),) for a in m.letters for b in m.letters]
     return spark.createDataFrame(rows, "matrix string, a string, b string, score int")
+
+
+# Published scores of pairs of letters, for each matrix.
+CELLS = {
+    "blosum30": "AA 4 WW 20 CC 17 HH 14 PP 11 NW -7 DE 1 BN 4 ZE 5 JJ 4 OA 0 X* -7 ** 1",
+    "blosum45": "AA 5 WW 15 CC 12 HH 10 YF 3 IV 3 BB 4 BZ 2 JL 4 UW -2 A* -5 ** 1",
+    "blosum62": "AA 4 WW 11 CC 9 HH 8 HA -2 IL 2 KR 2 BD 4 ZQ 3 XX -1 XZ -1 JI 3 OS 0 O* -4 A* -4 ** 1",
+    "pam40": "AA 6 CC 9 WW 13 CW -14 EW -15 IL -1 JI 4 BN 6 XX -4 A* -15 ** 1",
+    "pam120": "AA 3 WW 12 WY -2 PS 1 BC -6 FY 4 JK -4 ZE 4 XW -5 R* -8 ** 1",
+    "pam200": "AA 3 AT 1 CC 12 CF -6 CN -5 IR -2 NT 0 QV -3 EW -9 MY -3 BB 3 WW 18 JJ 5 K* -9 ** 1",
+    "pam250": "AA 2 WW 17 CC 12 II 5 GP 0 PW -6 QS -1 RV -2 BX -1 QX -1 FY 7 JK -3 T* -8 ** 1",
+}
+CELL_ROWS = [(name, cells[k][0], cells[k][1], int(cells[k + 1])) for name, text in CELLS.items() for cells in (text.split(),) for k in range(0, len(cells), 2)]
+
+
+@query("SELECT matrix, a, b, CAST(score AS INTEGER) AS score FROM (VALUES " + ", ".join(map(str, CELL_ROWS)) + ") t(matrix, a, b, score)")
+def matrix_cells(spark, sf_dir):
+    """Scores of the pairs in CELLS, each taken from the pair turned round as well; a matrix that isn't symmetric there would give two rows."""
+    rows = [(name, a, b, m.score(*pair)) for name, a, b, _ in CELL_ROWS for m in (MATRICES[name][0](MATRICES[name][1]),) for pair in ((a, b), (b, a))]
+    return spark.createDataFrame(rows, "matrix string, a string, b string, score int").distinct()
+
+
+# --- tables of single operators
+
+
+@query(
+    """SELECT kind, mol_type, letters, ambiguous, CAST(length(letters) AS INTEGER) AS n FROM (VALUES
+  ('dna', 'dna', 'acgt', 'n'), ('dna_gapped', 'dna', '-acgt', 'n'), ('dna_redundant', 'dna', '-acgtrykmswbdhvn', 'n'),
+  ('rna', 'rna', 'acgu', 'n'), ('rna_gapped', 'rna', '-acgu', 'n'), ('rna_redundant', 'rna', '-acgurykmswbdhvn', 'n'),
+  ('protein', 'protein', '-abcdefghijklmnpqrstvwxyz*', 'x')) t(kind, mol_type, letters, ambiguous)"""
+)
+def alphabet_kinds(spark, sf_dir):
+    rows = [(kind, a.mol_type, a.letters, a.ambiguous, len(a)) for kind, a in ALPHABETS.items()]
+    return spark.createDataFrame(rows, "kind string, mol_type string, letters string, ambiguous string, n int")
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents),
+a AS (SELECT c, ord(c) AS k FROM c WHERE c BETWEEN '!' AND '~')
+SELECT c, CASE WHEN k >= 64 THEN k - 64 END AS illumina_1_3, CAST(round(10 * log10(pow(10.0, (k - 64) / 10.0) + 1)) AS INTEGER) AS solexa,
+  CASE WHEN k BETWEEN 64 AND 104 THEN chr(CAST(64 + CASE WHEN k = 64 THEN -5 ELSE round(10 * log10(nullif(pow(10.0, (k - 64) / 10.0) - 1, 0))) END AS INTEGER)) END AS as_solexa FROM a"""
+)
+def quality_letters(spark, sf_dir):
+    """Letters of other encodings; those under an encoding's range have no score."""
+    c = F.col("c")
+    letters = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("c")).distinct().where("c between '!' and '~'")
+    score = quality.decode_phred(c, "illumina_1_3", strict=False)
+    return letters.select(
+        "c",
+        score.alias("illumina_1_3"),
+        quality.decode_phred(c, "solexa").alias("solexa"),
+        F.when(score.between(0, 40), quality.encode_phred(score, "solexa")).alias("as_solexa"),
+    )
+
+
+@query(
+    f"""{SHORT}, v AS (SELECT item_id, list_transform(string_split(left(t, length(t) - 1), ''), lambda c: instr('ACGT', c) - 1) || [2, 2, 2] AS v FROM b WHERE length(t) > 1)
+SELECT item_id, CAST(len(v) AS BIGINT) AS n, CAST(list_sum(v) - v[2] + 3 AS BIGINT) AS sum_after_set, CAST(v[len(v)] AS BIGINT) AS last, CAST(3 AS BIGINT) AS second FROM v"""
+)
+def bit_updates(spark, sf_dir):
+    """Values appended before packing, and one replaced after it."""
+    enc, ranks = BitEncoding(2), RankTransform("ACGT")
+    rows = short_texts(spark, sf_dir).select("item_id", ranks.transform(F.rtrim("t", F.lit("$"))).alias("v")).where("size(v) > 0")
+    rows = rows.select("item_id", enc.push(F.col("v"), F.lit(2), F.lit(3)).alias("v")).select("item_id", enc.pack(F.col("v")).alias("b"), F.size("v").alias("n"))
+    rows = rows.withColumn("c", enc.set(F.col("b"), F.col("n"), F.lit(1), F.lit(3)))
+    c, n = F.col("c"), F.col("n")
+    return rows.select(
+        "item_id",
+        n.cast("long").alias("n"),
+        F.aggregate(enc.unpack(c, n), F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_after_set"),
+        enc.get(F.col("b"), n, n - 1).alias("last"),
+        enc.get(c, n, F.lit(1)).alias("second"),
+    )
+
+
+@query(f"{SA_SQL} SELECT item_id, list(CAST(p AS BIGINT) ORDER BY r) AS sa FROM r GROUP BY item_id")
+def integer_suffix_arrays(spark, sf_dir):
+    rows = short_texts(spark, sf_dir).select("item_id", RankTransform("$ACGT").transform(F.col("t")).alias("ranks"))
+    return rows.select("item_id", fulltext.suffix_array_ints("ranks").alias("sa"))
+
+
+@query(
+    f"""{SA_SQL}, w AS (SELECT item_id, string_agg(c, '' ORDER BY r) AS bwt FROM r GROUP BY item_id),
+m AS (SELECT item_id, bwt, unnest(range(0, length(bwt), 32)) AS r FROM w), l AS (SELECT unnest(['$', 'A', 'C', 'G', 'T']) AS letter)
+SELECT item_id, CAST(r AS INTEGER) AS r, letter, CAST(r + 1 - length(replace(left(bwt, r + 1), letter, '')) AS BIGINT) AS n FROM m, l WHERE contains(left(bwt, r + 1), letter)"""
+)
+def occ_samples(spark, sf_dir):
+    return fulltext.occ_checkpoints(_indexed(spark, sf_dir), "item_id", "bwt", 32).select("item_id", F.col("r").cast("int").alias("r"), "letter", "n")
+
+
+@query(
+    f"""{SHORT}, s AS (SELECT item_id, left(t, length(t) - 1) AS s FROM b),
+c AS (SELECT item_id, s, unnest(range(0, length(s))) AS p FROM s),
+k AS (SELECT item_id, p, substr(s, p + 1, 3) AS codon FROM c),
+o AS (SELECT a.item_id, a.p AS start, min(z.p) + 3 AS stop FROM k a JOIN k z ON a.item_id = z.item_id AND a.codon = 'ATG' AND z.codon IN ('TGA', 'TAG', 'TAA') AND z.p >= a.p AND z.p % 3 = a.p % 3 GROUP BY ALL)
+SELECT item_id, 'orf' AS kind, CAST(start AS BIGINT) AS at, CAST(stop AS BIGINT) AS value FROM o WHERE stop - 2 - start > 6
+UNION ALL SELECT item_id, 'match', CAST(p AS BIGINT), NULL FROM c WHERE substr(s, p + 1, 3) = 'GAA'
+UNION ALL SELECT item_id, 'qgram', CAST(p AS BIGINT), CAST((instr('ACGT', substr(s, p + 1, 1)) - 1) * 4 + instr('ACGT', substr(s, p + 2, 1)) - 1 AS BIGINT) FROM c WHERE p < length(s) - 1"""
+)
+def sql_tables(spark, sf_dir):
+    """Table functions of SQL: reading frames, matches and q-grams."""
+    from strandlake.plans import sql as names
+
+    names.register(spark)
+    view = f"items_{uuid.uuid4().hex}"
+    short_texts(spark, sf_dir).select("item_id", F.rtrim("t", F.lit("$")).alias("s")).createOrReplaceTempView(view)
+    return spark.sql(
+        f"""SELECT item_id, 'orf' AS kind, o.start AS at, o.end AS value FROM {view}, LATERAL reading_frames(s, 'ATG', 'TGA,TAG,TAA', 6) o
+        UNION ALL SELECT item_id, 'match', m.position, NULL FROM {view}, LATERAL matches(s, 'GAA') m
+        UNION ALL SELECT item_id, 'qgram', q.position, q.qgram FROM {view}, LATERAL qgrams(s, 'ACGT', 2) q"""
+    )

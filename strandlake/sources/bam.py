@@ -1,7 +1,9 @@
 """BAM: binary alignments in BGZF blocks, as a source and as a sink.
 
 A file is one task when read: its blocks are inflated one after another and records are cut from
-the stream, so that memory holds a block and a record, not the file's contents. Written parts are whole BAM files.
+the stream, so that memory holds a block and a record, not the file's contents. Written parts are whole BAM files, which
+a task sends block by block through Spark's text writer: a block ends with the highest byte of its payload's length,
+which is always 0, so that a line end of one zero byte after the rest of each block gives the block itself.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, StringType
 
 from strandlake.functions.alignment_fields import CIGAR_OPS, packed_bases
 
@@ -24,6 +26,8 @@ SCHEMA = (
     "qname string, flag int, tid int, pos bigint, mapq smallint, mtid int, pnext bigint, tlen bigint, bin int, l_seq bigint, "
     "cigar string, seq_packed binary, qual_raw binary, aux_raw binary"
 )
+#: Scores as letters, and back.
+_TO_LETTERS, _TO_SCORES = bytes((k + 33) % 256 for k in range(256)), bytes((k - 33) % 256 for k in range(256))
 # Binary types of optional fields and of array elements.
 NUMBERS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 
@@ -102,9 +106,23 @@ def _records(data: bytes) -> Iterator[tuple]:
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
     """FIELDS (packed fields as they are), with seq and qual decoded beside them. seq is only decoded where it is selected."""
     rows = parsed(spark, path, _records, SCHEMA, FIELDS).drop("path")
-    missing = F.startswith(F.hex("qual_raw"), F.lit("FF"))
-    qual = F.when(missing | (F.col("l_seq") == 0), "").otherwise(F.array_join(F.transform(F.split(F.rtrim(F.regexp_replace(F.hex("qual_raw"), "(..)", "$1 ")), " "), lambda h: F.chr(F.conv(h, 16, 10).cast("int") + 33)), ""))
-    return rows.select("*", packed_bases(F.col("seq_packed"), F.col("l_seq")).alias("seq"), qual.alias("qual"))
+    return rows.select("*", packed_bases(F.col("seq_packed"), F.col("l_seq")).alias("seq"), quality_text("qual_raw").alias("qual"))
+
+
+@F.pandas_udf(StringType())
+def quality_text(raw: pd.Series) -> pd.Series:
+    """Quality letters of packed scores; empty where there are none (a first byte of 255)."""
+
+    def one(b):
+        return None if b is None else "" if not len(b) or b[0] == 255 else bytes(b).translate(_TO_LETTERS).decode("latin-1")
+
+    return raw.map(one)
+
+
+@F.pandas_udf(BinaryType())
+def packed_quality(qual: pd.Series, n: pd.Series) -> pd.Series:
+    """Packed scores of quality letters; without any, n bytes of 255."""
+    return pd.Series([None if q is None or k is None else q.encode("latin-1").translate(_TO_SCORES) if q else b"\xff" * int(k) for q, k in zip(qual, n)])
 
 
 def read_bam_refs(spark: SparkSession, path: str) -> DataFrame:
@@ -190,9 +208,7 @@ def packed_rows(df: DataFrame) -> DataFrame:
     """FIELDS from rows with seq and qual as text and aux_raw or none: the packed columns are made."""
     code = F.translate(F.upper("seq"), "=ACMGRSVTWYHKDBN", "0123456789ABCDEF")
     packed = F.unhex(F.when(F.length("seq") % 2 == 1, F.concat(code, F.lit("0"))).otherwise(code))
-    qual = F.when(F.col("qual") == "", F.unhex(F.repeat(F.lit("FF"), F.length("seq")))).otherwise(
-        F.unhex(F.array_join(F.transform(F.filter(F.split("qual", ""), lambda c: c != ""), lambda c: F.lpad(F.hex(F.ascii(c) - 33), 2, "0")), ""))
-    )
+    qual = packed_quality("qual", F.length("seq"))
     out = df.withColumns({"seq_packed": packed, "qual_raw": qual, "l_seq": F.length("seq").cast("long")})
     for name, value in (("bin", F.lit(0)), ("aux_raw", F.unhex(F.lit("")))):
         if name not in df.columns:
@@ -201,41 +217,30 @@ def packed_rows(df: DataFrame) -> DataFrame:
 
 
 def write_bam(df: DataFrame, path: str, text: str, refs: list[tuple[str, int]]) -> None:
-    """One whole BAM file for each partition of df, as rows (part, content) in Parquet under path; export_bam takes them out.
+    """One whole BAM file under path for each partition of df, in any store that Spark writes to.
 
-    Rows keep their order inside a partition.
+    Rows keep their order inside a partition, and a task holds one block.
     """
 
     def run(frames):
-        from pyspark import TaskContext
-
-        out, held = [], bytearray(encode_header(text, refs))
+        def sent(payload: bytes, last: bool = False):
+            data = bgzf.deflate(payload, end=last)
+            cuts = []
+            at = 0
+            while at < len(data):
+                at += bgzf.block_size(data, at)[0]
+                cuts.append(at)
+            return pd.DataFrame({"block": [data[a : b - 1] for a, b in zip([0, *cuts], cuts)]})
+
+        held = bytearray(encode_header(text, refs))
         for pdf in frames:
             for r in pdf.to_dict("records"):
                 one = encode_record(r)
                 if len(held) + len(one) > bgzf.MAX_PAYLOAD:
-                    out.append(bgzf.deflate(bytes(held), end=False))
+                    yield sent(bytes(held))
                     held = bytearray()
                 held += one
-        out.append(bgzf.deflate(bytes(held)))
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "content": [b"".join(out)]})
-
-    df.select(*FIELDS).mapInPandas(run, "part int, content binary").write.parquet(path)
-
-
-def read_written(spark: SparkSession, path: str) -> DataFrame:
-    """The rows (FIELDS) of what write_bam has written."""
-
-    def run(frames):
-        for pdf in frames:
-            for content in pdf.content:
-                yield pd.DataFrame(list(_records(bytes(content))), columns=FIELDS, dtype=object)
-
-    return spark.read.parquet(path).select("content").mapInPandas(run, SCHEMA)
-
+        yield sent(bytes(held), last=True)
 
-def export_bam(spark: SparkSession, path: str, target: str) -> None:
-    """Part files of write_bam as files of the driver's own disk: target-00000.bam and so on, one at a time."""
-    for row in spark.read.parquet(path).toLocalIterator():
-        with open(f"{target}-{row.part:05d}.bam", "wb") as f:
-            f.write(row.content)
+    blocks = df.select(*FIELDS).mapInPandas(run, "block binary")
+    blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\x00").text(path)

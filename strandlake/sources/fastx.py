@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import parsed, write_lines
+from .files import check_heads, parsed, write_lines
 
 SEQUENCES = "name string, seq string, qual string"
 
@@ -25,17 +26,27 @@ class RecordError(ValueError):
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq, qual null). A ``+`` line ends the sequence; unequal inner lines are an error."""
+    """(name, seq, qual null). A ``+`` line ends the sequence; unequal inner lines are an error, and so is a file
+    that begins with another letter than ``>``."""
+    check_heads(spark, path, ">")
     raw = spark.read.option("lineSep", "\n>").text(path)
-    lines = F.split(F.regexp_replace(F.regexp_replace("value", "^>", ""), "\r", ""), "\n")
-    body = F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: x != "")
-    plus = F.array_position(F.transform(body, lambda x: F.substring(x, 1, 1)), "+")
-    body = F.when(plus > 0, F.slice(body, 1, F.greatest((plus - 1).cast("int"), F.lit(0)))).otherwise(body)
-    width = F.length(F.get(body, F.lit(0)))
-    inner = F.slice(body, 1, F.greatest(F.size(body) - 1, F.lit(0)))
-    even = ~F.exists(inner, lambda x: F.length(x) != width)
-    seq = F.when(F.coalesce(even, F.lit(True)), F.array_join(body, "")).otherwise(F.raise_error(F.lit("lines of a sequence differ in length")).cast("string"))
-    return raw.where("trim(value) <> ''").select(F.rtrim(F.get(lines, F.lit(0))).alias("name"), seq.alias("seq"), F.lit(None).cast("string").alias("qual"))
+    return raw.where(F.btrim("value", F.lit(" \r\n\t")) != "").mapInArrow(_fasta_rows, SEQUENCES)
+
+
+def _fasta_rows(batches):
+    """Rows of texts that each hold one record, with or without its ``>``."""
+    for batch in batches:
+        names, seqs = [], []
+        for text in batch.column(0).to_pylist():
+            head, _, rest = text.removeprefix(">").replace("\r", "").partition("\n")
+            lines = [x for x in rest.split("\n") if x]
+            end = next((k for k, x in enumerate(lines) if x[0] == "+"), len(lines))
+            lines = lines[:end]
+            if any(len(x) != len(lines[0]) for x in lines[:-1]):
+                raise RecordError(f"lines of a sequence differ in length: {head}")
+            names.append(head.rstrip(" "))
+            seqs.append("".join(lines))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(seqs, pa.string()), pa.nulls(len(names), pa.string())], names=["name", "seq", "qual"])
 
 
 def _lines(data: bytes) -> Iterator[tuple[int, bytes, int]]:
@@ -117,8 +128,8 @@ def fasta_record(name: Column, seq: Column, width: int = 0, line_ending: str = "
     if width < 1:
         lines = seq
     else:
-        n = F.greatest(F.ceil(F.length(seq) / width).cast("int"), F.lit(1))
-        lines = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(seq, k * width + 1, F.lit(width))), line_ending)
+        # one pass: a line end after each full line that isn't the last
+        lines = F.regexp_replace(seq, f"(?s)(.{{{width}}})(?=.)", "$1" + line_ending)
     return F.concat(F.lit(">"), name, F.lit(line_ending), lines)
 
 

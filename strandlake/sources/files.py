@@ -27,6 +27,27 @@ def parsed(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[tup
     return files.mapInPandas(run, f"path string, {schema}")
 
 
+def check_heads(spark: SparkSession, path: str, letter: str) -> None:
+    """An error if a file's first letter that isn't white space is another one. The files are those the driver lists anyway;
+    a few bytes of each are read (of compressed ones, after expanding them)."""
+    conf, hadoop = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop
+    codecs = hadoop.io.compress.CompressionCodecFactory(conf)
+    for name in spark.read.text(path).inputFiles():
+        place = hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        codec = codecs.getCodec(place)
+        stream = place.getFileSystem(conf).open(place)
+        if codec is not None:
+            stream = codec.createInputStream(stream)
+        try:
+            byte = stream.read()
+            while 0 <= byte and bytes([byte]).isspace():
+                byte = stream.read()
+        finally:
+            stream.close()
+        if byte >= 0 and chr(byte) != letter:
+            raise ValueError(f"{name} begins with {chr(byte)!r}, not {letter!r}")
+
+
 def write_lines(df: DataFrame, record: str, path: str, line_ending: str = "\n") -> None:
     """The string column ``record`` as text parts, a line ending after each."""
     df.select(F.col(record).alias("value")).write.option("lineSep", line_ending).text(path)

@@ -1,6 +1,7 @@
 """Goldens and properties of the sequence functions, operators and sources."""
 
 import random
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import alignment_fields as af
 from strandlake.functions import composition, distance, matching, quality
 from strandlake.functions.alphabet import ALPHABETS, AMINO_ACIDS, amino_acid_code, amino_acid_letter, three_letter
+from strandlake.functions import ranks as ranks_module
 from strandlake.functions.ranks import BitEncoding, RankTransform
 from strandlake.operators import align, fulltext, length_stats, matrices, orf
 from strandlake.operators.dictionary import resolve
@@ -246,10 +248,40 @@ def test_alignment(spark):
     assert r[0].r.score == 8 and r[0].r.ystart == 2 and r[0].r.operations[0].op == "match" and r[1].r.score is None
 
 
+def test_matches_of_linear_forms(spark):
+    rng = random.Random(20)
+    texts = ["".join(rng.choices("ACGT", k=rng.randrange(60))) + "$" for _ in range(40)]
+    df = spark.createDataFrame([(t, "".join(rng.choices("ACG", k=rng.randrange(1, 5)))) for t in texts] + [(None, "A"), ("A$", None)], "t string, p string")
+    df = df.withColumn("sa", fulltext.suffix_array("t")).withColumn("b", fulltext.bwt("t", "sa"))
+    for r in df.withColumn("hit", fulltext.backward_search("b", "p")).collect():
+        if r.t is None or r.p is None:
+            assert r.hit.kind is None
+            continue
+        sa = sorted(range(len(r.t)), key=lambda i: r.t[i:])
+        assert r.sa == sa and r.b == "".join(r.t[i - 1] for i in sa)
+        n = next((k for k in range(len(r.p), 0, -1) if r.p[-k:] in r.t), 0)
+        rows = [k for k, i in enumerate(sa) if n and r.t[i:].startswith(r.p[-n:])]
+        assert (r.hit.kind, r.hit.len) == (("absent", None) if not n else ("complete", None) if n == len(r.p) else ("partial", n))
+        assert not n or (r.hit.lower, r.hit.upper) == (rows[0], rows[-1] + 1)
+    for q in (1, 3, 11):
+        got = {r.qgram: r.n for r in ranks_module.qgram_counts(df, "t", ranks_module.RankTransform("$ACGT"), q).collect()}
+        want = Counter()
+        for t in texts + ["A$"]:
+            for i in range(len(t) - q + 1):
+                want[sum("$ACGT".index(c) << 3 * (q - 1 - k) for k, c in enumerate(t[i : i + q]))] += 1
+        assert got == want
+
+
 def test_matrices():
     for n, want in ((40, 6), (120, 3), (200, 3), (250, 2)):
         m = matrices.pam(n)
         assert m.score("A", "A") == want and all(m.score(a, b) == m.score(b, a) for a in m.letters for b in m.letters)
+    for m in map(matrices.blosum, (30, 45, 62)):
+        assert all(m.score(a, b) == m.score(b, a) and m.score(a, "O") == m.score(a, "X") for a in m.letters for b in m.letters)
+    m = matrices.blosum(62)
+    # rows of the published table, in alphabetical order
+    for c, row in (("B", "-2 4 -3 4 1 -3 -1 0 -3 -4 0 -4 -3 3 -1 -2 0 -1 0 -1 -1 -3 -4 -3 1 -1 -4"), ("J", "-1 -4 -1 -4 -3 0 -4 -3 3 3 -3 3 2 -3 -1 -3 -3 -3 -2 -1 -1 2 -3 -1 -3 -1 -4")):
+        assert [m.score(c, x) for x in "ABCDEFGHIJKLMNOPQRSTUVWYZX*"] == [int(v) for v in row.split()]
     assert matrices.pam(250).score("W", "W") == 17 and matrices.pam(250).score("C", "C") == 12 and matrices.pam(120).score("W", "W") == 12
     m = matrices.Matrix.parse("# a comment\n   A  R  *\nA  4 -1 -4\nR -1  5 -4\n* -4 -4  1\n")
     assert m.score("A", "R") == -1 and m.score("Q", "A") == -4 and m.by_code(65, 65) == 4
@@ -270,6 +302,14 @@ def test_fasta_and_fastq(spark, tmp_path):
     (tmp_path / "b.fa").write_text(">x one\nACGT\nACGT\nA\n>y\nGG\n")
     fa = str(tmp_path / "b.fa")
     assert [tuple(r)[:2] for r in fastx.read_fasta(spark, fa).collect()] == [("x one", "ACGTACGTA"), ("y", "GG")]
+    (tmp_path / "odd.fa").write_text("\r\n\n>a\r\nAC\r\nG\r\n\r\n>b\n+\nII\n>c\n")
+    assert [tuple(r) for r in fastx.read_fasta(spark, str(tmp_path / "odd.fa")).collect()] == [("a", "ACG", None), ("b", "", None), ("c", "", None)]
+    (tmp_path / "no.fa").write_text("ACGT\n>x\nAC\n")
+    with pytest.raises(ValueError, match="begins with 'A'"):
+        fastx.read_fasta(spark, str(tmp_path / "no.fa"))
+    (tmp_path / "uneven.fa").write_text(">x\nAC\nACG\nAC\n")
+    with pytest.raises(Exception, match="differ in length"):
+        fastx.read_fasta(spark, str(tmp_path / "uneven.fa")).collect()
     index = fastx.scan_index(spark, fa).drop("path")
     assert [tuple(r) for r in index.collect()] == [("x", 9, 7, 4, 5, None), ("y", 2, 22, 2, 3, None)]
     assert {tuple(r) for r in fastx.fetch(spark, fa, index).collect()} == {("x", "ACGTACGTA", None), ("y", "GG", None)}
@@ -300,11 +340,10 @@ def test_sam_and_bam(spark, tmp_path):
     packed = bam.packed_rows(resolve(sam.read_sam(spark, str(tmp_path / "a.sam")), refs).withColumn("aux_raw", F.lit(b"NMC\x01XZZhi\0XBBs\x02\0\0\0\x01\0\xfe\xff").cast("binary")))
     out = fresh(spark, "t.bam")
     bam.write_bam(packed.coalesce(1), out, text, [("ref1", 45), ("ref2", 40)])
-    bam.export_bam(spark, out, str(tmp_path / "x"))
-    back = {r.qname: r for r in bam.read_bam(spark, str(tmp_path / "x-*.bam")).withColumn("aux", bam.aux_as_text("aux_raw")).collect()}
+    back = {r.qname: r for r in bam.read_bam(spark, f"{out}/part-*").withColumn("aux", bam.aux_as_text("aux_raw")).collect()}
     assert back["r1"].seq == got["r1"].seq and back["r1"].qual == got["r1"].qual and back["r1"].cigar == got["r1"].cigar and back["r5"].qual == ""
     assert back["r1"].aux == "NM:i:1\tXZ:Z:hi\tXB:B:s,1,-2" and back["r1"].pos == 7 and back["r5"].pos == 0
-    assert [(r.name, r.len) for r in bam.read_bam_refs(spark, str(tmp_path / "x-*.bam")).orderBy("tid").collect()] == [("ref1", 45), ("ref2", 40)]
+    assert [(r.name, r.len) for r in bam.read_bam_refs(spark, f"{out}/part-*").orderBy("tid").collect()] == [("ref1", 45), ("ref2", 40)]
 
 
 def test_bgzf():
