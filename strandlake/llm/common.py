@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.functions.columns import unused
 from strandlake.operators.stored import delete, fresh, mark, release, stored  # noqa: F401
 
 #: White space of every contract here: space and the control characters 9 to 13.
@@ -56,14 +57,6 @@ def succeeded(df: DataFrame, name: str, since: int) -> DataFrame:
     return out
 
 
-def unused(name: str, *frames: DataFrame) -> str:
-    """The name, lengthened until no column of frames has it."""
-    taken = {c.lower() for df in frames for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def in_fold(doc_id: Column) -> Column:
     """True for held-out rows: crc32 of doc_id as text, mod 5, is 0. A null doc_id is never held out nor learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -77,12 +70,42 @@ def utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows (df should be a stored table of few, fixed-width columns);
-    as it is otherwise, for a shuffled join."""
+#: Bytes of a table that is broadcast at most, as it lies in memory.
+BROADCAST_BYTES = 64 << 20
+#: Rows of one key that a join handles in one part, and keys that are split, at most.
+PART_ROWS, HOT_KEYS = 100_000, 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it takes at most ``BROADCAST_BYTES``; as it is otherwise, for a shuffled join.
+
+    df should be a stored table of columns of fixed width (8 bytes each, and about 40 for a row's place in the hash table).
+    """
+    kinds = {f.dataType.typeName() for f in df.schema.fields}
+    if not kinds <= {"long", "integer", "short", "byte", "boolean", "double", "float"}:
+        raise TypeError("only columns of fixed width have a known size")
+    rows = BROADCAST_BYTES // (40 + 8 * len(df.columns))
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def split_join(many: DataFrame, one: DataFrame, keys: list[str], n: str, spread: str) -> DataFrame:
+    """many joined with one, which has a row for each key and a column n of how many rows many has of it at most.
+
+    Keys of very many rows are split by a hash of the column spread, so that no task gets them all. They are
+    ``HOT_KEYS`` at most, whatever the size, and so can be broadcast. one should be a stored table.
+    """
+    total, top = one.agg(F.sum(n), F.max(n)).first()
+    least = max(PART_ROWS, -(-(total or 0) // HOT_KEYS))
+    if (top or 0) <= least:
+        return many.join(one, keys)
+    size, part = unused("_parts", many, one), unused("_part", many, one)
+    parts = F.ceil(F.col(n) / least).cast("long")
+    hot = F.broadcast(one.where(F.col(n) > least).select(*keys, parts.alias(size)))
+    left = many.join(hot, keys, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(spread), F.col(size)), F.lit(0).cast("long"))).drop(size)
+    right = one.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return left.join(right, [*keys, part]).drop(part)
+
+
 def lowered(text: Column) -> Column:
     """A-Z in lower case, all else unchanged, as the contracts ask."""
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())

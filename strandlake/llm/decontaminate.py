@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from .common import small, stored, unused, words
 
 WORDS, NUM, DEN = 5, 4, 5
-#: Rows of a sketch table, of candidates, that are broadcast at most.
-BROADCAST_ROWS = 1_000_000
 
 
 def _runs(w: Column, n: int) -> Column:
@@ -67,10 +65,10 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     # the words are a column of their own: inside a lambda they would be split anew for each shingle
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", words(F.col("text")).alias("w"))
     hashed = texts.select("doc_id", F.explode(F.concat(*(F.transform(_runs(F.col("w"), n), lambda s: F.xxhash64(s)) for n in lengths))).alias("h"))
-    candidates = stored(hashed.join(small(sketches, BROADCAST_ROWS), "h").select("doc_id", "item_id").distinct(), "leak-candidates")
+    candidates = stored(hashed.join(small(sketches), "h").select("doc_id", "item_id").distinct(), "leak-candidates")
 
     wanted = stored(candidates.select("doc_id").distinct(), "leak-documents")
-    own = texts.join(small(wanted, BROADCAST_ROWS), "doc_id").select("doc_id", F.explode(_all_runs(F.col("w"), lengths)).alias("shingle"))
+    own = texts.join(small(wanted), "doc_id").select("doc_id", F.explode(_all_runs(F.col("w"), lengths)).alias("shingle"))
     sized = candidates.join(shingles, "item_id").select(F.col("doc_id"), "item_id", "shingle", "size")
     shared = own.join(sized, ["doc_id", "shingle"]).distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.first("size").alias("n_item"))
     return shared.where(F.col("n_shared") * DEN >= F.col("n_item") * NUM)
@@ -80,4 +78,4 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that contain no item, with all their columns."""
     leak = unused("_leak", docs)
     found = stored(contained(docs, items).select(F.col("doc_id").alias(leak)).distinct(), "leaks")
-    return docs.join(small(found, BROADCAST_ROWS), docs["doc_id"] == F.col(leak), "left_anti")
+    return docs.join(small(found), docs["doc_id"] == F.col(leak), "left_anti")

@@ -36,17 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import ASCII_UPPER, Scratch, small, stored, unused, utf8
+from .common import ASCII_UPPER, Scratch, small, split_join, stored, unused, utf8
 
 MIN_DOCS, MIN_LENGTH = 3, 20
 #: Keys that a shard's filter is meant for; there are as many shards as that needs.
 SHARD_KEYS = 50_000
 #: Keys that ask a shard's filter in one part; the filter goes to each part.
 PART_POSTINGS = 100_000
-#: Lines that are confirmed in several parts, at most.
-HOT_LINES = 100_000
-#: Rows of a table of shards that is broadcast at most.
-SHARDS_SENT = 1_000_000
 #: Batches whose tables are read through one another before they are put together.
 LAYERS = 8
 _LOWER = str.maketrans(ASCII_UPPER, ASCII_UPPER.lower())
@@ -263,7 +259,7 @@ class LineIndex:
         placed = postings.withColumn("shard", shard_of(self.shards))
         parts = F.ceil(F.col("n") / PART_POSTINGS).cast("long").alias("parts")
         asked = placed.groupBy("shard").agg(F.count("*").alias("n")).join(self.filters.select("shard"), "shard").select("shard", parts)
-        asked = small(asked, SHARDS_SENT)
+        asked = small(asked)
         nothing = lambda names: [F.lit(None).cast("long").alias(c) for c in names]
         keys = placed.join(asked, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), F.lit(None).cast("binary").alias("bits"), *KEY, "doc_id")
         bits = self.filters.join(asked, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "bits", *nothing([*KEY, "doc_id"]))
@@ -289,13 +285,7 @@ class LineIndex:
     def decisions(self, postings: DataFrame) -> DataFrame:
         """(doc_id, drop): the keys, as 16 bytes each, whose lines a document loses. postings should be a stored table."""
         often = self.refs.where(F.col("n_docs") >= self.min_docs)
-        # a hot line's documents are confirmed in parts; HOT_LINES keys at most hold more than this
-        least = max(PART_POSTINGS, -(-(often.agg(F.sum("n_docs")).first()[0] or 0) // HOT_LINES))
-        parts = F.ceil(F.col("n_docs") / least).cast("long")
-        hot = F.broadcast(often.where(F.col("n_docs") > least).select(*KEY, parts.alias("parts")))
-        asked = self._probed(postings).join(hot, KEY, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0).cast("long")))
-        counts = often.select(*KEY, "max_doc", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-        lost = asked.join(counts, [*KEY, "part"]).where("doc_id <> max_doc")
+        lost = split_join(self._probed(postings), often, KEY, "n_docs", "doc_id").where("doc_id <> max_doc")
         return lost.groupBy("doc_id").agg(F.collect_list(F.struct(*KEY)).alias("drop"))
 
     def apply(self, docs: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ import pytest
 import corpus_pipeline
 from oracle import DATA
 from strandlake.llm import chat, decontaminate, graph, jaccard, langid, linededup, packing, pii, tokens, topk, toxicity
+from strandlake.llm import common
 from strandlake.llm.common import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, sig long, _leak int, _copy int, _doc int, _keys int, n_lines int"
@@ -100,6 +101,7 @@ def test_line_index_is_reversible(spark, monkeypatch, shard, part, layers):
     """Small numbers: many shards, a hot key in many parts, filters made anew as keys come, tables put together."""
     monkeypatch.setattr(linededup, "SHARD_KEYS", shard)
     monkeypatch.setattr(linededup, "PART_POSTINGS", part)
+    monkeypatch.setattr(common, "PART_ROWS", part)
     monkeypatch.setattr(linededup, "LAYERS", layers)
     rng = random.Random(3)
     pool = [prose(rng, 8) for _ in range(12)]
@@ -382,10 +384,16 @@ def plain_components(rows, n, num, den):
     return Counter((i, len(s), top(i)) for (i, _), s in zip(rows, sets))
 
 
-@pytest.mark.parametrize("n, num, den, frequent", [(3, 90, 100, 64), (5, 80, 100, 64), (3, 90, 100, 2), (2, 60, 100, 2)])
-def test_jaccard_join(spark, monkeypatch, n, num, den, frequent):
-    """frequent 2: nearly every shared token is frequent, so that prefixes consist of combinations."""
+@pytest.mark.parametrize(
+    "n, num, den, frequent, full, part",
+    [(3, 90, 100, 64, 256, 100_000), (5, 80, 100, 64, 3, 100_000), (3, 90, 100, 2, 256, 2), (2, 60, 100, 2, 256, 100_000), (3, 90, 100, 1000, 2, 100_000), (2, 60, 100, 1000, 1, 2)],
+)
+def test_jaccard_join(spark, monkeypatch, n, num, den, frequent, full, part):
+    """frequent 2: nearly every shared token is frequent, so that prefixes consist of combinations; full 1 to 3: single
+    tokens' entries overflow, and tokens become frequent for those who index them; part 2: entries are joined in parts."""
     monkeypatch.setattr(jaccard, "LEAST_FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "FULL", full)
+    monkeypatch.setattr(common, "PART_ROWS", part)
     rng = random.Random(n * num)
     rows = []
     for _ in range(12):
@@ -413,6 +421,14 @@ def test_jaccard_edges(spark):
     assert jaccard.link(df.limit(0), 3, 90, 100).count() == 0
 
 
+def test_entries_give_their_tokens():
+    rng = np.random.default_rng(21)
+    t = rng.integers(0, 2**64, 500, dtype=np.uint64)
+    assert (jaccard.unmix(jaccard.mix(t)) == t).all()
+    for b in (0, 3, 70):
+        assert (jaccard.entry_tokens(jaccard.entry_keys(jaccard.mix(t ^ jaccard.SINGLE), b), np.full(500, b)) == t).all()
+
+
 def test_shingle_sets():
     rng = random.Random(10)
     texts = [prose(rng, rng.randrange(30)) for _ in range(50)] + [None, "", "A\x0bb\x85c d", "é" * 3, " lead and trail "]
