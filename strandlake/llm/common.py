@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.columns import unused
-from strandlake.operators.stored import delete, fresh, mark, release, stored  # noqa: F401
+from strandlake.operators.stored import delete, fresh, mark, release, shared_dir, stored  # noqa: F401
 
 #: White space of every contract here: space and the control characters 9 to 13.
 SPACE = "\\x20\\x09-\\x0D"

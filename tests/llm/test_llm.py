@@ -624,3 +624,85 @@ def test_pipeline(spark, tmp_path):
     assert set(sizes[2]) == clean - {9} and set(sizes[3]) == clean - {9, 7}
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(sizes[3])
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """All stages in plain Python, over rows of every kind."""
+    rng = random.Random(22)
+    bench = [prose(rng, 40, 9000) for _ in range(4)] + [None, ""]
+    rows = []
+    for i in range(160):
+        t = prose(rng, rng.choice((4, 30, 80, 200)), 9000) + " blorky zonkhead blorky" * (i % 5 == 0)
+        rows.append((i, t))
+    common_lines = [f"{prose(rng, 9)} is found in many" for _ in range(3)]
+    rows = [(i, "\n".join([t, *rng.sample(common_lines, rng.choice((0, 0, 1, 2)))])) for i, t in rows]
+    rows += [(200 + i, " ".join(x if rng.random() > 0.01 else "changed" for x in rows[i][1].split(" "))) for i in range(1, 60, 2)]
+    rows += [(300 + i, f"{prose(rng, 50, 9000)} {bench[i % 4].upper()}") for i in range(6)]
+    rows += [(400, None), (401, ""), (402, " \n\n "), (403, "x " * 4000), (404, rows[7][1]), (404, rows[8][1]), (None, rows[9][1]), (None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, None, "s", None if t is None else len(t)) for i, t in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(160)] + [(400, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    model = toxicity.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    now = [(i, t) for i, t in rows if model.score(t) < 0.5]
+    assert {i for i, _ in rows} - {i for i, _ in now} >= {i for i in range(160) if i % 5 == 0}
+    now = [(i, kept) for i, _, _, kept in plain_lines(now).elements()]
+    # a doc_id of two rows is one node that has both sets
+    up = {i: i for i, _ in now}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    sets = [(i, shingle_set(t, 5)) for i, t in now if i is not None]
+    for a, (i, x) in enumerate(sets):
+        for j, y in sets[:a]:
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    now = [(i, t) for i, t in now if i is None or top(i) == i]
+    items = [s for b in bench for s in [shingle_set(b, 5)] if s]
+    leaked = {i for i, t in now if i is not None and any(5 * len(s & shingle_set(t, 5)) >= 4 * len(s) for s in items)}
+    assert leaked and len(now) < len(rows)
+    now = [(i, t) for i, t in now if i not in leaked]
+
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want, lengths = Counter(), []
+    for i, t in now:
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        for k, (a, n) in enumerate(packing.cut(len(ids))):
+            want[i, k, a, n, zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes())] += 1
+            lengths.append(n)
+    held = common.mark()
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(tuple(r)[:5] for r in got) == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert all(a == sum(n for _, n in sorted(own)[:k]) and a + m <= 1024 for own in bins.values() for k, (a, m) in enumerate(sorted(own)))
+    assert packing.least_bins(np.bincount(lengths, minlength=1025), 1024) <= len(bins) <= len(packing.best_fit(sorted(lengths, reverse=True), 1024))
+    # two tables are left, which the result reads, and they go when asked
+    assert common.mark() - held == 2
+    common.release(spark, held)
+    assert common.mark() == held
+
+
+def test_nothing_is_left(spark, tmp_path):
+    """Files of the shared folder, once a result has been read and released."""
+    docs = docs_of(spark, [prose(random.Random(i % 3), 60) for i in range(9)])
+    folder = common.shared_dir(spark)
+    files = lambda: {os.path.join(d, f) for d, _, fs in os.walk(folder) for f in fs}
+    common.release(spark)
+    before = files()
+    items = docs.selectExpr("doc_id as item_id", "text").limit(1)
+    for result in (linededup.dedup_lines, lambda d: jaccard.link(d, 3, 90, 100), packing.pack_documents, lambda d: decontaminate.clean(d, items)):
+        result(docs).collect()
+        assert files() > before
+        common.release(spark)
+        assert files() == before
