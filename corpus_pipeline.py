@@ -2,6 +2,12 @@
 
 Each stage is one operator over all that its predecessor kept. Filtering stages keep the columns of
 documents; the line stage rewrites text, and n_chars where it dropped lines.
+
+Defined results: a null or empty text isn't toxic, has one empty line, is linked with nothing, holds no
+item and is packed as the end id alone; a null doc_id is never learned from, loses no line and is no copy;
+rows with one doc_id are one document to the stages that compare documents, and go or stay together there;
+without labels nothing is toxic, without benchmark nothing is a leak; columns beside those of documents
+are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate, jaccard, linededup, packing, toxicity
-from strandlake.llm.common import stored, table
+from strandlake.llm.common import mark, succeeded, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -50,12 +56,13 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Toxicity is learned, so SQL can't express the rows; tests hold them against a brute-force version.
+#: Toxicity is learned, so SQL can't express the rows; a test holds them against a brute-force version of all stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's table replaces the one before it, with all that was stored for it."""
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = succeeded(stage(spark, docs, sf_dir), f"stage-{name}", since)
     return STAGES[-1][1](spark, docs, sf_dir)
