@@ -3,8 +3,9 @@
 Features are hashed n-grams of 1 to 3 lower-cased code points, weighted (1 + ln tf) * idf and
 scaled to length 1. Document frequencies come from every learnable document. The weights are
 fitted with follow-the-regularised-leader and elastic-net penalties on a bounded sample
-(``PER_LANGUAGE`` documents of each language, those with the smallest hashes), and a temperature is then
-fitted on a part of that sample that the weights have not seen.
+(``PER_LANGUAGE`` documents of each language, those with the smallest hashes, as long as their vectors take
+``SAMPLE_BYTES`` together at most, in equal shares), and a temperature is then fitted on a part of that sample that the
+weights have not seen.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without any
 learnable row every document is ``und`` with score 0; ties go to the smaller language name;
@@ -20,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_fold, may_learn
+from .common import Scratch, in_fold, may_learn
 
 BITS = 15
 SIZE = 1 << BITS
 #: Bound of the sample that the weights are fitted on, for each language.
 PER_LANGUAGE = 1000
-#: Parts that a language is ranked in first.
-SALTS = 64
+#: Bound of the sample's vectors in bytes; each language has an equal share, and its first document in any case.
+SAMPLE_BYTES = 256 << 20
+#: Languages whose counts are broadcast at most.
+LANGUAGES_SENT = 100_000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 #: Code points that are hashed at once.
@@ -149,10 +152,13 @@ def fit(docs: DataFrame) -> Model:
             df[feature] = n
     idf = np.log((1 + n_docs) / (1 + df)) + 1
 
-    # first inside salted parts of a language, so that no task ranks all of a frequent one
+    # hashes are even, so a bound on them leaves few more rows than wanted to be ranked, however frequent a language is
+    counts = learnable.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = F.broadcast(counts) if counts.limit(LANGUAGES_SENT + 1).count() <= LANGUAGES_SENT else counts
+    enough = PER_LANGUAGE + 10 * PER_LANGUAGE**0.5 + 100
+    bound = F.lit(-(2.0**63)) + F.least(F.lit(1.0), F.lit(enough) / F.col("n")) * F.lit(2.0**64)
+    few = learnable.select("doc_id", "lang").join(counts, "lang").where(F.xxhash64("doc_id").cast("double") <= bound).drop("n")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    parts = Window.partitionBy("lang", F.pmod(F.hash("doc_id"), F.lit(SALTS))).orderBy(*order)
-    few = learnable.select("doc_id", "lang").withColumn("k", F.row_number().over(parts)).where(F.col("k") <= PER_LANGUAGE).drop("k")
     chosen = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= PER_LANGUAGE)
     sample = learnable.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "lang", "k")), "doc_id")
 
@@ -169,7 +175,13 @@ def fit(docs: DataFrame) -> Model:
                 names=["lang", "k", "at", "x"],
             )
 
-    got = sample.select("lang", "k", "text").mapInArrow(featured, "lang string, k int, at binary, x binary").toArrow()
+    with Scratch(docs.sparkSession) as scratch:
+        vectors = scratch(sample.select("lang", "k", "text").mapInArrow(featured, "lang string, k int, at binary, x binary"), "language-sample")
+        n_languages = vectors.select("lang").distinct().count()
+        running = F.sum(F.octet_length("at") + F.octet_length("x")).over(Window.partitionBy("lang").orderBy("k"))
+        own = Window.partitionBy("lang").orderBy("k")
+        fits = vectors.withColumn("size", running).withColumn("i", F.row_number().over(own)).where((F.col("size") <= SAMPLE_BYTES // max(1, n_languages)) | (F.col("i") == 1))
+        got = fits.select("lang", "k", "at", "x").toArrow()
     rows = sorted(zip(*(got.column(c).to_pylist() for c in ("k", "lang", "at", "x"))))
     languages = sorted({r[1] for r in rows})
     data = [(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(x, np.float32).astype(float), languages.index(lang)) for _, lang, a, x in rows]

@@ -13,10 +13,11 @@ import pytest
 
 import corpus_pipeline
 from oracle import DATA
-from strandlake.llm import chat, decontaminate, graph, jaccard, langid, linededup, packing, pii, tokens, topk, toxicity
-from strandlake.llm import common
+from strandlake.llm import chat, common, decontaminate, graph, jaccard, langid, linededup, packing, pii, tokens, topk, toxicity
 from strandlake.llm.common import Scratch
 
+LARGE = "/root/testdata/sf0.1"
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, sig long, _leak int, _copy int, _doc int, _keys int, n_lines int"
 
 
@@ -364,6 +365,93 @@ def test_language_identification(spark):
     assert all((a == b).all() for a, b in zip(whole, parts))
 
 
+def test_language_weights_by_brute_force(spark, monkeypatch):
+    """Frequencies, vectors, steps of the leader and the temperature, each in plain Python."""
+    rng = random.Random(23)
+    texts = ["".join(rng.choices("abcdé ", k=rng.randint(1, 60))) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, "xyz"[i % 3]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+
+    def grams(t):
+        """The places of the n-grams: each n-gram has one, found by asking for a text that holds it alone."""
+        t, out = t.lower(), Counter()
+        for n in (1, 2, 3):
+            for i in range(len(t) - n + 1):
+                known = places.get(t[i : i + n])
+                if known is None:
+                    whole = Counter(dict(zip(*(x.tolist() for x in langid.ngram_counts(t[i : i + n])))))
+                    for m in range(1, n):
+                        for j in range(n - m + 1):
+                            whole[grams_of(t[i + j : i + j + m])] -= 1
+                    (known,) = [k for k, v in whole.items() if v]
+                    places[t[i : i + n]] = known
+                out[known] += 1
+        return out
+
+    places = {}
+
+    def grams_of(g):
+        if g not in places:
+            grams(g)
+        return places[g]
+
+    learned = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 and any(map(str.isalpha, texts[i]))]
+    df_count = Counter(k for i in learned for k in grams(texts[i]))
+    for k, v in df_count.items():
+        assert np.isclose(model.idf[k], np.log((1 + len(learned)) / (1 + v)) + 1)
+    found, x = langid.weighted(texts[0], model.idf)
+    plain = {k: (1 + np.log(v)) * model.idf[k] for k, v in grams(texts[0]).items()}
+    size = np.sqrt(sum(v * v for v in plain.values()))
+    assert dict(zip(found.tolist(), np.round(x, 12))) == {k: np.round(v / size, 12) for k, v in plain.items()}
+
+    rows = [(np.array(sorted(rng.sample(range(6), 3))), np.array([rng.random() for _ in range(3)]), rng.randrange(3)) for _ in range(12)]
+    weights, bias = langid.ftrl(rows, 3, 2)
+    z, n = [[0.0] * 3 for _ in range(7)], [[0.0] * 3 for _ in range(7)]  # place 6 is the bias
+
+    def weight(k, c):
+        l1 = 0.0 if k == 6 else langid.L1
+        if abs(z[k][c]) <= l1:
+            return 0.0
+        sign = 1 if z[k][c] > 0 else -1
+        return -(z[k][c] - sign * l1) / ((langid.BETA + n[k][c] ** 0.5) / langid.ALPHA + langid.L2)
+
+    for _ in range(2):
+        for at, x, y in rows:
+            cells = [*zip(at.tolist(), x.tolist()), (6, 1.0)]
+            w = {(k, c): weight(k, c) for k, _ in cells for c in range(3)}
+            scores = [sum(v * w[k, c] for k, v in cells) for c in range(3)]
+            e = [np.exp(s - max(scores)) for s in scores]
+            for k, v in cells:
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (c == y))
+                    sigma = ((n[k][c] + g * g) ** 0.5 - n[k][c] ** 0.5) / langid.ALPHA
+                    z[k][c] += g - sigma * w[k, c]
+                    n[k][c] += g * g
+    assert np.allclose(weights[:6], [[weight(k, c) for c in range(3)] for k in range(6)]) and np.allclose(bias, [weight(6, c) for c in range(3)])
+    assert not weights[6:].any()
+
+    logits, y = np.random.default_rng(24).normal(size=(200, 3)) * 4, np.random.default_rng(25).integers(0, 3, 200)
+    y = np.where(np.arange(200) % 3 > 0, logits.argmax(1), y)
+    loss = lambda t: -np.mean([logits[i, c] / t - np.log(np.exp(logits[i] / t).sum()) for i, c in enumerate(y)])
+    grid = np.exp(np.linspace(-3, 3, 601))
+    assert loss(langid.fit_temperature(logits, y)) <= min(map(loss, grid)) + 1e-9
+    # a small bound in bytes leaves a smaller sample, and a language has one document at least
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 1)
+    assert langid.fit(df).languages == ["x", "y", "z"]
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGE), reason="no test data here")
+def test_held_out_accuracy(spark):
+    docs, labels = (spark.read.parquet(f"{LARGE}/{n}.parquet") for n in ("documents", "labels"))
+    lang = langid.identify(docs, langid.fit(docs)).where("held_out").join(docs.select("doc_id", "lang").where("lang is not null"), "doc_id")
+    right, n = lang.selectExpr("sum(int(lang_pred = lang))", "count(*)").first()
+    assert right >= 0.99 * n
+    known = labels.where("toxic is not null").select("doc_id", "toxic")
+    toxic = toxicity.score(docs, toxicity.fit(docs, labels)).where("held_out").join(known, "doc_id")
+    rows = {(r.toxic, r.predicted): r["count"] for r in toxic.groupBy("toxic", "predicted").count().collect()}
+    assert rows[1, 1] >= 0.9 * (rows[1, 1] + rows.get((1, 0), 0)) and rows.get((0, 1), 0) <= 0.01 * rows[0, 0]
+
+
 # 8
 
 
@@ -440,7 +528,9 @@ def test_shingle_sets():
     assert all((a == b).all() for a, b in zip(sets[5:], parts))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [100_000, 3])
+def test_components(spark, monkeypatch, part):
+    monkeypatch.setattr(common, "PART_ROWS", part)
     rng = random.Random(11)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
     up = {i: i for e in edges for i in e}
