@@ -1,8 +1,9 @@
 """Token counts by a linear longest-match automaton.
 
-The vocabulary is a trie over bytes; marks of word ends are dropped from its entries, since a
-greedy match must not be stopped by them. Every node has a failure link and the number of tokens that following it pops, so that greedy longest-match piece counts
-come from one pass over a word, without backtracking and without building pieces.
+The vocabulary is a trie over bytes and the mark of a word's end. Every node has a failure link and the number of
+tokens that following it pops, so that greedy longest-match piece counts come from one pass over a word, without
+backtracking and without building pieces. A piece inside a word is an entry without the mark; the last one may
+be an entry with it, or one without (a mark that is left over counts nothing), so that pieces are entries of the file.
 
 Words are runs of word characters and single other non-space characters, lower-cased.
 
@@ -32,25 +33,33 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
-def read_vocabulary(path: str) -> list[bytes]:
-    """Entries of a word-BPE file as bytes, without marks of word ends."""
+#: The symbol of a word's end, beside the 256 bytes.
+END = 256
+
+
+def read_vocabulary(path: str) -> list[tuple[int, ...]]:
+    """Entries of a word-BPE file as bytes, with END where they carry the mark of a word's end."""
     letters = byte_letters()
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
-    stems = {token.removesuffix("</w>") for token in vocab}
-    return sorted(bytes(letters[c] for c in s) for s in stems if s and all(c in letters for c in s))
+    stems = ((token.removesuffix("</w>"), token.endswith("</w>")) for token in vocab)
+    return sorted((*(letters[c] for c in s), *([END] if marked else [])) for s, marked in stems if s and all(c in letters for c in s))
 
 
 class Automaton:
-    """child[node * 256 + symbol], fail[node] (-1: the word can't be spelled), popped[node]."""
+    """child[node * 512 + symbol], fail[node] (-1: the word can't be spelled), popped[node].
+
+    tokens are sequences of symbols. With marked, words end with END, which alone is a token that counts nothing.
+    """
 
-    def __init__(self, tokens):
+    def __init__(self, tokens, marked: bool = False):
         child: dict[int, int] = {}
         parent, symbol, final = [0], [0], [False]
-        for token in tokens:
+        self.marked = marked
+        for token in [*tokens, *([(END,)] if marked else [])]:
             node = 0
             for s in token:
-                key = node * 256 + s
+                key = node * 512 + s
                 nxt = child.get(key)
                 if nxt is None:
                     nxt = child[key] = len(parent)
@@ -63,24 +72,25 @@ class Automaton:
         depth = [0] * len(parent)
         for node in range(1, len(parent)):  # a parent has a smaller number than its child
             depth[node] = depth[parent[node]] + 1
+        alone = child.get(END) if marked else None
         for node in sorted(range(1, len(parent)), key=depth.__getitem__):
             if final[node]:
-                fail[node], popped[node] = 0, 1
+                fail[node], popped[node] = 0, int(node != alone)
                 continue
             z, n, s = fail[parent[node]], popped[parent[node]], symbol[node]
-            while z >= 0 and z * 256 + s not in child:
+            while z >= 0 and z * 512 + s not in child:
                 n += popped[z]
                 z = fail[z]
             if z >= 0:
-                fail[node], popped[node] = child[z * 256 + s], n
+                fail[node], popped[node] = child[z * 512 + s], n
         self.child, self.fail, self.popped = child, fail, popped
 
     def count(self, word: bytes) -> int:
         """Pieces of the word, or -1 if it can't be spelled."""
         child, fail, popped = self.child, self.fail, self.popped
         node = n = 0
-        for s in word:
-            while (nxt := child.get(node * 256 + s)) is None:
+        for s in (*word, END) if self.marked else word:
+            while (nxt := child.get(node * 512 + s)) is None:
                 n += popped[node]
                 node = fail[node]
                 if node < 0:
@@ -99,7 +109,7 @@ _AUTOMATA: dict[str, Automaton] = {}
 
 def automaton(path: str) -> Automaton:
     if path not in _AUTOMATA:
-        _AUTOMATA[path] = Automaton(read_vocabulary(path))
+        _AUTOMATA[path] = Automaton(read_vocabulary(path), marked=True)
     return _AUTOMATA[path]
 
 

@@ -301,15 +301,28 @@ def test_token_counts(spark):
                     break
                 n, at = n + 1, at + best
             assert auto.count(w) == n, (w, drop)
+    vocabulary = {b"a", b"b", b"ab", b"abc", b"c"}
+    marked = [*map(tuple, vocabulary), *[(*v, tokens.END) for v in (b"a", b"bc", b"ca", b"abca")]]
+
+    def greedy(w, entries):
+        """Pieces of w, as entries with or without the mark at the end."""
+        symbols, n, at = (*w, tokens.END), 0, 0
+        while at < len(w):
+            best = max((k for k in range(1, min(longest, len(symbols) - at) + 1) if symbols[at : at + k] in entries), default=0)
+            if not best:
+                return -1
+            n, at = n + 1, at + best
+        return n
+
+    longest, auto = 5, tokens.Automaton(sorted(marked), marked=True)
+    for _ in range(3000):
+        w = bytes(rng.choices(b"abcd" if rng.random() < 0.1 else b"abc", k=rng.randint(1, 9)))
+        assert auto.count(w) == greedy(w, set(marked)), w
     path = tokens.default_vocabulary()
     real, vocab = tokens.automaton(path), set(tokens.read_vocabulary(path))
     longest = max(map(len, vocab))
-    for text in ("internationalisation", "naïve", "été", "日本語", "zzxqj"):
-        w, n, at = text.encode(), 0, 0
-        while at < len(w):
-            at += next(k for k in range(min(longest, len(w) - at), 0, -1) if w[at : at + k] in vocab)
-            n += 1
-        assert real.count(w) == n
+    for text in ("internationalisation", "naïve", "été", "日本語", "zzxqj", *prose(rng, 300, 9).split(), *("".join(rng.choices("aeinorstzqé", k=rng.randint(1, 14))) for _ in range(2000))):
+        assert real.count(text.encode()) == greedy(text.encode(), vocab)
     texts = ["Hello, World!", None, "", " \n ", "a" * 30_000, "Hello, World!"]
     got = {r.doc_id: tuple(r)[1:] for r in tokens.token_counts(docs_of(spark, texts)).collect()}
     assert got[0] == got[5] and got[0][0] == 4 and got[1] == got[2] == got[3] == (0, 0, 0) and got[4][0] == 1 and got[4][1] > 100
