@@ -431,7 +431,30 @@ def fasta_round_trip(spark, sf_dir):
 def fastq_round_trip(spark, sf_dir):
     path = fresh(spark, "reads.fq")
     fastx.write_fastq(_reads(spark, sf_dir), path, line_ending="\r\n")
-    return fastx.read_fastx(spark, path).select("name", F.md5("seq").alias("seq"), F.md5("qual").alias("qual"))
+    return fastx.read_fastq(spark, path).select("name", F.md5("seq").alias("seq"), F.md5("qual").alias("qual"))
+
+
+@query(
+    f"""{DOCS} SELECT 'fa' AS kind, 'doc' || doc_id || ' from documents' AS name, md5(s) AS seq, CAST(NULL AS VARCHAR) AS qual FROM d WHERE s <> ''
+UNION ALL SELECT 'fq', 'doc' || doc_id || ' from documents', md5(s), md5(translate(s, 'ACGT', '@I5+')) FROM d WHERE s <> ''"""
+)
+def mixed_files(spark, sf_dir):
+    """FASTA and FASTQ files in one folder, told apart by their records."""
+    path = fresh(spark, "mixed")
+    fastx.write_fasta(_reads(spark, sf_dir), f"{path}/a", width=50, line_ending="\r\n")
+    fastx.write_fastq(_reads(spark, sf_dir), f"{path}/b")
+    got = fastx.read_fastx(spark, f"{path}/*/part-*")
+    return got.select(F.when(F.col("qual").isNull(), "fa").otherwise("fq").alias("kind"), "name", F.md5("seq").alias("seq"), F.md5("qual").alias("qual"))
+
+
+@query(f"{DOCS} SELECT 'doc' || doc_id AS name, md5(s) AS seq, CAST(length(s) AS BIGINT) AS length FROM d WHERE s <> ''")
+def fetch_many(spark, sf_dir):
+    """Random access in many files by one index."""
+    path = fresh(spark, "many.fa")
+    fastx.write_fasta(_reads(spark, sf_dir), path, width=70)
+    index = fastx.scan_index(spark, f"{path}/part-*")
+    got = fastx.fetch(spark, f"{path}/part-*", index)
+    return got.select("name", F.md5("seq").alias("seq"), F.length("seq").cast("long").alias("length"))
 
 
 @query(

@@ -1,7 +1,8 @@
 """FASTA and FASTQ: readers, writers and their indexes.
 
-FASTA is split at line starts with ``>``, so large files are read by many tasks. FASTQ can't be
-split at a letter (quality lines may begin with any), so a file is one task.
+FASTA is split at line starts with ``>``, so large files are read by many tasks. FASTQ is split where a task finds
+records of four lines up to the end of its part of a file; what it leaves at both ends is put together with its
+neighbours' and parsed as a whole, and so is a file of other records.
 
 Names are header lines without the space at their end. Lines may end with CR LF and the last may have no
 end. Lines of a record are equally long but for the last. Errors stop the read.
@@ -123,6 +124,79 @@ def read_fastx(spark: SparkSession, path: str) -> DataFrame:
     return parsed(spark, path, _rows, SEQUENCES, ["name", "seq", "qual"]).drop("path")
 
 
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """(name, seq, qual) of FASTQ files, by many tasks a file.
+
+    A task that reads a part of a file takes its records if they have four lines each, from the first place
+    where that holds to the end of the part. The lines before that, and a last record that isn't whole, go
+    to one small group for each file. Parts with other records (of several lines, or FASTA) go there as a whole.
+    A task holds one part (spark.sql.files.maxPartitionBytes) at a time.
+    """
+    kept = FASTQ_PART + ", whole boolean"
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("path"), F.input_file_block_start().alias("at"))
+    cut = lines.mapInArrow(_fastq_parts, kept)
+    whole = cut.where("whole").select("name", "seq", "qual")
+
+    def rest(key, pdf):
+        text = b"".join(t for _, _, t in sorted(zip(pdf["at"], pdf["k"], map(bytes, pdf["rest"]))))
+        return pd.DataFrame(list(_rows(text)), columns=["name", "seq", "qual"], dtype=object)
+
+    return whole.unionByName(cut.where("not whole").groupBy("path").applyInPandas(rest, SEQUENCES))
+
+
+FASTQ_PART = "path string, at long, k int, rest binary, name string, seq string, qual string"
+
+
+def _four_lines(lines: list[str], i: int) -> bool:
+    """Whether a record of four lines begins at i; at the end of the lines, as far as they go."""
+    own = lines[i : i + 4]
+    return own[0][:1] == "@" and (len(own) < 3 or own[2][:1] == "+") and (len(own) < 4 or len(own[1]) == len(own[3])) and (len(own) < 2 or own[1][:1] not in ("@", "+", ">"))
+
+
+def _fastq_parts(batches):
+    """Rows of whole records, and up to two of what is left of a part: the lines before them (k 0) and after them (k 1)."""
+    names = [f.split()[0] for f in (FASTQ_PART + ", whole boolean").split(", ")]
+
+    def sent(path, at, lines):
+        lines = [x.removesuffix("\r") for x in lines]
+        n = len(lines)
+        for first in range(min(n, 9)):
+            ends = range(first, n, 4)
+            if n - first >= 4 and all(_four_lines(lines, i) for i in ends):
+                break
+        else:
+            first = n
+        end = first + (n - first) // 4 * 4
+        rest = [(k, "".join(f"{x}\n" for x in part).encode()) for k, part in ((0, lines[:first]), (1, lines[end:])) if part]
+        good = range(first, end, 4)
+        rows = len(good) + len(rest)
+        blank = [None] * len(good)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([path] * rows, pa.string()),
+                pa.array([at] * rows, pa.int64()),
+                pa.array([*blank, *(k for k, _ in rest)], pa.int32()),
+                pa.array([*blank, *(t for _, t in rest)], pa.binary()),
+                pa.array([*(lines[i][1:].rstrip() for i in good), *[None] * len(rest)], pa.string()),
+                pa.array([*(lines[i + 1] for i in good), *[None] * len(rest)], pa.string()),
+                pa.array([*(lines[i + 3] for i in good), *[None] * len(rest)], pa.string()),
+                pa.array([True] * len(good) + [False] * len(rest)),
+            ],
+            names=names,
+        )
+
+    place, held = None, []
+    for batch in batches:
+        for value, path, at in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if (path, at) != place:
+                if held:
+                    yield from sent(*place, held)
+                place, held = (path, at), []
+            held.append(value)
+    if held:
+        yield from sent(*place, held)
+
+
 def fasta_record(name: Column, seq: Column, width: int = 0, line_ending: str = "\n") -> Column:
     """The text of a record without its last line end; width 0: one line."""
     if width < 1:
@@ -183,29 +257,65 @@ def write_index(index: DataFrame, path: str) -> None:
 
 
 def fetch(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """(name, seq, qual) at the places that an index (of one file) gives, without parsing the file.
+    """(name, seq, qual) at the places that an index gives, without parsing files.
 
-    Line ends inside a sequence are as many bytes as the index says. The index goes to the task that
-    holds the file, as one array; it has a few numbers for each record of that file. A path of
-    several files, or none, is an error.
+    The index is of one file (a path of several, or none, is an error) or names files in a column path, as
+    scan_index does; then path gives those that count. Its rows are spread over tasks, which read
+    only the bytes they need; files of stores without random access are read as a whole, one task a file. Line ends inside a sequence
+    are as many bytes as the index says.
     """
     own = index if "qual_offset" in index.columns else index.withColumn("qual_offset", F.lit(None).cast("bigint"))
-    places = own.agg(F.collect_list(F.struct(*INDEX)).alias("places")).withColumn("_file", F.lit(0))
-    found = spark.read.format("binaryFile").load(path)
-    if (n := len(found.inputFiles())) != 1:
-        raise ValueError(f"an index is of one file, but {path} matches {n}")
-    files = found.select("content").limit(1).withColumn("_file", F.lit(0))  # the one there is
-
-    def cut(data: bytes, at: int, p) -> str:
-        n, base, width = p["length"], p["line_base"], p["line_width"]
-        ends = (n - 1) // base if n and base else 0
-        return data[at : at + n + ends * (width - base)].translate(None, b"\r\n").decode()
+    files = spark.read.format("binaryFile").load(path)
+    n = len(files.inputFiles())
+    if "path" not in index.columns:
+        if n != 1:
+            raise ValueError(f"an index is of one file, but {path} matches {n}")
+        own = own.withColumn("path", F.lit(files.select("path").first().path))
+    own = own.select("path", *INDEX)
+    if n and _opened(files.select("path").first().path) is not None:
+        return own.join(files.select("path"), "path", "left_semi").mapInPandas(_fetched, SEQUENCES)
+    places = own.groupBy("path").agg(F.collect_list(F.struct(*INDEX)).alias("places"))
 
     def rows(frames):
         for pdf in frames:
             for data, places in zip(pdf.content, pdf.places):
-                data = bytes(data)
-                out = [(p["name"], cut(data, p["offset"], p), None if p["qual_offset"] is None else cut(data, p["qual_offset"], p)) for p in places]
-                yield pd.DataFrame(out, columns=["name", "seq", "qual"], dtype=object)
+                yield _cut(lambda at, n, data=bytes(data): data[at : at + n], places)
+
+    return files.select("path", "content").join(places, "path").select("content", "places").mapInPandas(rows, SEQUENCES)
+
+
+def _opened(path: str):
+    """A file that can be read at any place, or None if its store isn't one that workers can open by themselves."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    try:
+        if path.startswith("file:"):
+            return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+        store, place = fs.FileSystem.from_uri(quote(path, safe=":/"))
+        return store.open_input_file(place)
+    except (pa.ArrowException, OSError, ValueError):
+        return None
+
+
+def _cut(read, places) -> pd.DataFrame:
+    """Rows of places; read(at, n) gives n bytes."""
+
+    def part(p, at: int) -> str:
+        n, base, width = p["length"], p["line_base"], p["line_width"]
+        ends = (n - 1) // base if n and base else 0
+        return read(at, n + ends * (width - base)).translate(None, b"\r\n").decode()
+
+    out = [(p["name"], part(p, p["offset"]), None if pd.isna(p["qual_offset"]) else part(p, int(p["qual_offset"]))) for p in places]
+    return pd.DataFrame(out, columns=["name", "seq", "qual"], dtype=object)
+
 
-    return files.join(places, "_file").select("content", "places").mapInPandas(rows, SEQUENCES)
+def _fetched(frames):
+    for pdf in frames:
+        for path, own in pdf.groupby("path", sort=False):
+            f = _opened(path)
+            if f is None:
+                raise OSError(f"can't open {path}")
+            with f:
+                yield _cut(lambda at, n: f.read_at(n, at), own.astype({c: object for c in INDEX}).to_dict("records"))

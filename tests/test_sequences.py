@@ -318,6 +318,50 @@ def test_fasta_and_fastq(spark, tmp_path):
         fastx.read_index(spark, str(tmp_path / "bad.fai")).collect()
 
 
+@pytest.mark.parametrize("size", [64, 150, 1 << 20])
+def test_fastq_in_parts(spark, tmp_path, size):
+    """Small parts cut files inside records; quality lines begin with all letters, records of several lines and FASTA are there too."""
+    rng = random.Random(size)
+    want = []
+    for name, lines in (("plain", 1), ("several", 2), ("empty", 0)):
+        text = ""
+        for i in range(30 if lines else 1):
+            n = rng.randrange(0 if lines == 1 else 4, 60)
+            seq, qual = "".join(rng.choices("ACGT", k=n)), "".join(rng.choices("@+>I5", k=n))
+            width = n if lines == 1 else n // 2
+            cut = lambda t, w=width, k=n: "\n".join(t[a : a + w] for a in range(0, k, w)) if w else t
+            end = rng.choice(("\n", "\r\n"))
+            if lines:
+                text += f"@{name}{i} x\n{cut(seq)}\n+\n{cut(qual)}\n".replace("\n", end)
+                want.append((f"{name}{i} x", seq, qual))
+        (tmp_path / f"{name}.fq").write_text(text, newline="")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = fastx.read_fastq(spark, str(tmp_path / "*.fq"))
+        assert size > 200 or df.rdd.getNumPartitions() > 3
+        assert sorted(map(tuple, df.collect())) == sorted(want)
+        assert sorted(map(tuple, fastx.read_fastx(spark, str(tmp_path / "*.fq")).collect())) == sorted(want)
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "bad.fq").write_text("@a\nACGT\n+\nIII\n")
+    with pytest.raises(Exception, match="differ in l"):
+        fastx.read_fastq(spark, str(tmp_path / "bad.fq")).collect()
+
+
+def test_fetch_from_many_files(spark, tmp_path, monkeypatch):
+    for name in "abc":
+        (tmp_path / f"{name} 1.fa").write_text(f">{name}1 x\nACGT\nAC{name.upper()}\n>{name}2\n\n>{name}3\nGG\n")
+    index = fastx.scan_index(spark, f"{tmp_path}/*.fa")
+    want = {(f"{n}{k}", s, None) for n in "ab" for k, s in ((1, f"ACGTAC{n.upper()}"), (2, ""), (3, "GG"))}
+    assert {tuple(r) for r in fastx.fetch(spark, f"{tmp_path}/[ab]*.fa", index).collect()} == want
+    monkeypatch.setattr(fastx, "_opened", lambda path: None)
+    assert {tuple(r) for r in fastx.fetch(spark, f"{tmp_path}/[ab]*.fa", index).collect()} == want
+
+
 def test_fetch_takes_one_file(spark, tmp_path):
     for name, seq in (("a", "ACGT"), ("b", "GGTT")):
         (tmp_path / f"{name}.fa").write_text(f">{name}\n{seq}\n")
