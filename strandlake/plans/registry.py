@@ -343,6 +343,27 @@ def match_counts(spark, sf_dir):
     return dna_of(spark, sf_dir).select("doc_id", matching.contains(s, "GAAAC").alias("has"), matching.count(s, "CC").alias("n"))
 
 
+@query(
+    """SELECT algorithm, key, CAST(value AS BIGINT) AS value FROM (VALUES
+  ('kmp', '0', 0), ('kmp', '1', 0), ('kmp', '2', 0), ('kmp', '3', 0), ('kmp', '4', 1), ('kmp', '5', 2), ('kmp', '6', 3), ('kmp', '7', 4),
+  ('kmp on A', '8', 5), ('horspool', 'A', 3), ('horspool', 'C', 2), ('horspool', 'G', 1), ('horspool', 'T', 4),
+  ('shift-and', 'A', 17), ('shift-and', 'C', 34), ('shift-and', 'G', 68), ('shift-and', 'T', 136), ('shift-and', 'end', 128),
+  ('bndm', 'A', 136), ('bndm', 'C', 68), ('bndm', 'G', 34), ('bndm', 'T', 17), ('bndm', 'end', 128),
+  ('bom', '0G', 1), ('bom', '0C', 2), ('bom', '1C', 2), ('bom', '0A', 3), ('bom', '2A', 3)) t(algorithm, key, value)"""
+)
+def matching_tables(spark, sf_dir):
+    """What the five exact matchers know about ACGTACGT (the oracle: about ACG)."""
+    p = "ACGTACGT"
+    rows = [("kmp", str(i), k) for i, k in enumerate(matching.kmp_borders(p))]
+    rows += [("kmp on A", str(len(p)), matching.kmp_delta(p, len(p), "A"))]
+    rows += [("horspool", c, k) for c, k in matching.horspool_shifts(p).items()]
+    for name, masks in (("shift-and", matching.shift_and_masks), ("bndm", matching.bndm_masks)):
+        own, end = masks(p)
+        rows += [(name, c, k) for c, k in own.items()] + [(name, "end", end)]
+    rows += [("bom", f"{state}{c}", to) for state, edges in enumerate(matching.factor_oracle("ACG")) for c, to in edges.items()]
+    return spark.createDataFrame(rows, "algorithm string, key string, value long")
+
+
 # --- reading frames
 
 
@@ -610,14 +631,53 @@ def _pairs(spark, sf_dir):
     return rows.select(F.col("item_id").alias("a"), F.col("t").alias("x"), (F.col("item_id") + 1).alias("b")).join(rows.select(F.col("item_id").alias("b"), F.col("t").alias("y")), "b")
 
 
-@query()
+def _scores_sql(texts: str, modes: str, letters: str, gap_open: int, gap_extend: int, result: str) -> str:
+    """Best alignment scores by recursion over the letters of y, a column of cells a step; the best end of each mode's clips counts.
+
+    texts: rows (item_id, s); modes: rows (mode, xclip, yclip); letters: the score of the letters p and q.
+    """
+    never = -1_000_000
+    return f"""WITH RECURSIVE t AS ({texts}),
+p AS (SELECT x.item_id AS a, x.s AS x, y.s AS y FROM t x JOIN t y ON y.item_id = x.item_id + 1),
+v AS (SELECT * FROM (VALUES {modes}) v(mode, xclip, yclip)),
+l AS (SELECT a, mode, xclip, yclip, y, length(y) AS n, length(x) AS m, unnest(range(0, length(x) + 1)) AS i, string_split('.' || x, '') AS letters FROM p, v),
+k AS (SELECT * EXCLUDE letters, letters[i + 1] AS p FROM l),
+c AS (
+  SELECT a, mode, i, 0::BIGINT AS j, CASE WHEN i = 0 THEN 0 ELSE greatest({gap_open} + {gap_extend} * (i - 1), xclip) END::BIGINT AS s, ({never})::BIGINT AS d FROM k
+  UNION ALL
+  SELECT a, mode, i, j, greatest(best, {gap_open} + {gap_extend} * (i - 1)
+    + coalesce(max(best - {gap_extend} * i) OVER (PARTITION BY a, mode ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {never})), d
+  FROM (
+    SELECT a, mode, i, j + 1 AS j, greatest(d + {gap_extend}, s + {gap_open}) AS d,
+      CASE WHEN i = 0 THEN greatest({gap_open} + {gap_extend} * j, yclip)
+      ELSE greatest(before + {letters}, d + {gap_extend}, s + {gap_open}, xclip + greatest(yclip, {gap_open} + {gap_extend} * j)) END AS best
+    FROM (SELECT c.*, xclip, yclip, p, substr(y, c.j + 1, 1) AS q, lag(c.s) OVER (PARTITION BY c.a, c.mode ORDER BY c.i) AS before
+      FROM c JOIN k ON c.a = k.a AND c.mode = k.mode AND c.i = k.i WHERE c.j < n))),
+e AS (SELECT c.a, c.mode, max(c.s + CASE WHEN c.i < m THEN xclip ELSE 0 END + CASE WHEN c.j < n THEN yclip ELSE 0 END) AS score
+  FROM c JOIN k ON c.a = k.a AND c.mode = k.mode AND c.i = k.i GROUP BY ALL)
+SELECT a, a + 1 AS b, {result} FROM e GROUP BY a"""
+
+
+MODES = ("global", "semiglobal", "local", "custom")
+
+
+@query(
+    _scores_sql(
+        f"SELECT item_id, {DNA} AS s FROM benchmark",
+        "('global', -1000000, -1000000), ('semiglobal', -1000000, 0), ('local', 0, 0), ('custom', -1000000, -4)",
+        "CASE WHEN p = q THEN 1 ELSE -1 END",
+        -5,
+        -1,
+        ", ".join(f"CAST(max(score) FILTER (WHERE mode = '{m}') AS INTEGER) AS {m}_score" for m in MODES),
+    )
+)
 def pairwise_alignment(spark, sf_dir):
-    """Scores and lengths of the four modes for neighbouring items; goldens and brute force are in the tests."""
+    """Scores of the four modes for neighbouring items."""
     scoring = align.Scoring(-5, -1, align.MatchScore(1, -1)).yclip(-4)
     rows = _pairs(spark, sf_dir)
-    for mode in ("global", "semiglobal", "local", "custom"):
+    for mode in MODES:
         rows = rows.withColumn(mode, align.alignment(scoring, mode)("x", "y"))
-    return rows.select("a", "b", *(F.col(f"{m}.score").alias(f"{m}_score") for m in ("global", "semiglobal", "local", "custom")), F.size("local.operations").alias("local_ops"))
+    return rows.select("a", "b", *(F.col(f"{m}.score").alias(f"{m}_score") for m in MODES))
 
 
 @query(
@@ -680,13 +740,26 @@ def alignment_cases(spark, sf_dir):
     return out.select("name", "mode", "r.score", "r.xstart", "r.xend", "r.ystart", "r.yend", ops.alias("ops"))
 
 
-@query()
+_A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BLOSUM62 = [[matrices.blosum(62).score(a, b) for b in _A_TO_Z] for a in _A_TO_Z]
+
+
+@query(
+    _scores_sql(
+        "SELECT item_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM benchmark",
+        "('local', 0, 0)",
+        f"({_BLOSUM62})[ord(p) - 64][ord(q) - 64]",
+        -10,
+        -1,
+        "CAST(max(score) AS INTEGER) AS score",
+    )
+)
 def protein_alignment(spark, sf_dir):
     """Local alignment of prose under BLOSUM 62."""
     scoring = align.Scoring(-10, -1, align.FunctionScore(matrices.blosum(62).by_code))
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("t"))
     pairs = rows.select(F.col("item_id").alias("a"), F.col("t").alias("x"), (F.col("item_id") + 1).alias("b")).join(rows.select(F.col("item_id").alias("b"), F.col("t").alias("y")), "b")
-    return pairs.select("a", "b", align.alignment(scoring, "local")("x", "y").alias("r")).select("a", "b", "r.score", "r.xstart", "r.xend", "r.ystart", "r.yend")
+    return pairs.select("a", "b", align.alignment(scoring, "local")("x", "y").alias("r")).select("a", "b", "r.score")
 
 
 MATRICES = {"blosum30": (matrices.blosum, 30), "blosum45": (matrices.blosum, 45), "blosum62": (matrices.blosum, 62)} | {f"pam{n}": (matrices.pam, n) for n in (40, 120, 200, 250)}
