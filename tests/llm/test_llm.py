@@ -526,8 +526,7 @@ def test_entries_give_their_tokens():
     rng = np.random.default_rng(21)
     t = rng.integers(0, 2**64, 500, dtype=np.uint64)
     assert (jaccard.unmix(jaccard.mix(t)) == t).all()
-    for b in (0, 3, 70):
-        assert (jaccard.entry_tokens(jaccard.entry_keys(jaccard.mix(t ^ jaccard.SINGLE), b), np.full(500, b)) == t).all()
+    assert (jaccard.entry_tokens(jaccard.mix(t ^ jaccard.SINGLE)) == t).all()
 
 
 def test_shingle_sets():
