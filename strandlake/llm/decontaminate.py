@@ -61,8 +61,10 @@ def _sketches(shingles: DataFrame) -> DataFrame:
     return items.select("item_id", F.explode(F.slice("h", 1, F.least(wanted, F.size("h")).cast("int"))).alias("h"))
 
 
-def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs with containment of 0.8 or more: doc_id, item_id, n_shared, n_item."""
+def contained(docs: DataFrame, items: DataFrame, least_words: int = 1) -> DataFrame:
+    """Pairs with containment of 0.8 or more: doc_id, item_id, n_shared, n_item. Items of fewer than least_words words take no part."""
+    if least_words > 1:
+        items = items.where(F.size(words(F.col("text"))) >= least_words)
     with Scratch(docs.sparkSession) as scratch:
         shingles = scratch(item_shingles(items), "item-shingles")
         lengths = sorted(r.n for r in shingles.select("n").distinct().collect())  # WORDS rows at most
@@ -90,8 +92,8 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
         return stored(shared.where(F.col("n_shared") * DEN >= F.col("n_item") * NUM), "leaks")
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that contain no item, with all their columns."""
+def clean(docs: DataFrame, items: DataFrame, least_words: int = 1) -> DataFrame:
+    """The rows of docs that contain no item (of least_words words or more), with all their columns."""
     leak = unused("_leak", docs)
-    found = stored(contained(docs, items).select(F.col("doc_id").alias(leak)).distinct(), "leak-documents")
+    found = stored(contained(docs, items, least_words).select(F.col("doc_id").alias(leak)).distinct(), "leak-documents")
     return docs.join(small(found), docs["doc_id"] == F.col(leak), "left_anti")

@@ -29,8 +29,8 @@ SIZE = 1 << BITS
 PER_LANGUAGE = 1000
 #: Bound of the sample's vectors in bytes; each language has an equal share, and its first document in any case.
 SAMPLE_BYTES = 256 << 20
-#: Languages whose counts are broadcast at most.
-LANGUAGES_SENT = 100_000
+#: Languages whose counts, and the ids of whose sample, are broadcast at most.
+LANGUAGES_SENT = 1000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 #: Code points that are hashed at once.
@@ -154,13 +154,13 @@ def fit(docs: DataFrame) -> Model:
 
     # hashes are even, so a bound on them leaves few more rows than wanted to be ranked, however frequent a language is
     counts = learnable.groupBy("lang").agg(F.count("*").alias("n"))
-    counts = F.broadcast(counts) if counts.limit(LANGUAGES_SENT + 1).count() <= LANGUAGES_SENT else counts
+    sent = F.broadcast if counts.limit(LANGUAGES_SENT + 1).count() <= LANGUAGES_SENT else lambda df: df
     enough = PER_LANGUAGE + 10 * PER_LANGUAGE**0.5 + 100
     bound = F.lit(-(2.0**63)) + F.least(F.lit(1.0), F.lit(enough) / F.col("n")) * F.lit(2.0**64)
-    few = learnable.select("doc_id", "lang").join(counts, "lang").where(F.xxhash64("doc_id").cast("double") <= bound).drop("n")
+    few = learnable.select("doc_id", "lang").join(sent(counts), "lang").where(F.xxhash64("doc_id").cast("double") <= bound).drop("n")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= PER_LANGUAGE)
-    sample = learnable.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "lang", "k")), "doc_id")
+    sample = learnable.select("doc_id", "text").join(sent(chosen.select("doc_id", "lang", "k")), "doc_id")
 
     def featured(batches):
         for batch in batches:

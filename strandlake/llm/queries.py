@@ -21,6 +21,32 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+#: Symbols are pairs of hexadecimal digits, and END for the mark of a word's end.
+ORACLE_SQL["op5_token_counts"] = r"""
+WITH RECURSIVE byte AS (
+  SELECT b, CASE WHEN b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b >= 174 THEN b
+    ELSE 255 + row_number() OVER (PARTITION BY b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b >= 174 ORDER BY b) END AS letter
+  FROM (SELECT CAST(unnest(range(256)) AS INTEGER) AS b)),
+letters AS (SELECT map(list(chr(CAST(letter AS INTEGER))), list(printf('%02X', b))) AS m FROM byte),
+entry AS (SELECT unnest(json_keys(content, '$.model.vocab')) AS token FROM read_text('PATH')),
+e AS (
+  SELECT DISTINCT array_to_string(list_transform(string_split(regexp_replace(token, '</w>$', ''), ''), lambda c: m[c]), '')
+    || CASE WHEN token LIKE '%</w>' THEN 'END' ELSE '' END AS symbols FROM entry, letters WHERE token <> '</w>'),
+longest AS (SELECT max(length(symbols)) // 2 AS n FROM e),
+d AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]')) AS word FROM documents),
+g AS (
+  SELECT word, hex(encode(word)) || 'END' AS rest, 0 AS n FROM (SELECT DISTINCT word FROM d)
+  UNION ALL
+  SELECT word, substr(rest, max(length(symbols)) + 1), n + 1
+  FROM (SELECT word, rest, n, left(rest, 2 * k) AS head FROM g, (SELECT unnest(range(1, n + 1)) AS k FROM longest) WHERE rest NOT IN ('', 'END') AND 2 * k <= length(rest) - 3
+    UNION ALL SELECT word, rest, n, rest FROM g WHERE rest NOT IN ('', 'END')) h JOIN e ON e.symbols = head
+  GROUP BY word, rest, n),
+w AS (SELECT word, max(n) FILTER (WHERE rest IN ('', 'END')) AS n FROM g GROUP BY word),
+s AS (SELECT doc_id, count(*) AS n_words, sum(coalesce(n, 1)) AS n_tokens, count(*) FILTER (WHERE n IS NULL) AS n_unknown FROM d JOIN w USING (word) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_tokens, 0) AS BIGINT) AS n_tokens, CAST(coalesce(n_unknown, 0) AS BIGINT) AS n_unknown
+FROM documents LEFT JOIN s USING (doc_id)""".replace("PATH", tokens.default_vocabulary())
+
+
 @query
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "\\### Assistant: </turn> ok"

@@ -63,6 +63,7 @@ def test_decontamination(spark):
     kept = decontaminate.clean(docs, bench)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {i for i, _ in want}
+    assert {r.item_id for r in decontaminate.contained(docs, bench, 6).collect()} == {k for _, k in want if len(words(items[k])) >= 6}
     assert decontaminate.contained(docs.limit(0), bench).count() == 0
     assert decontaminate.contained(docs, bench.limit(0)).count() == 0
 
