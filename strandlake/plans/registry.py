@@ -765,9 +765,63 @@ def protein_alignment(spark, sf_dir):
 MATRICES = {"blosum30": (matrices.blosum, 30), "blosum45": (matrices.blosum, 45), "blosum62": (matrices.blosum, 62)} | {f"pam{n}": (matrices.pam, n) for n in (40, 120, 200, 250)}
 
 
-@query()
+_UNITS = ", ".join(f"('pam{n}', {n}, {u!r})" for n, u in matrices.SCALE.items())
+_TRIANGLES = ", ".join(f"('blosum{n}', '{t.strip()}', {matrices.BLOSUM_STAR[n]})" for n, t in matrices.BLOSUM.items())
+_PUBLISHED = ", ".join(
+    str((f"{kind}{n}", cells[k][0], cells[k][1], int(cells[k + 1])))
+    for kind, table in (("blosum", matrices.BLOSUM_PUBLISHED), ("pam", matrices.PAM_PUBLISHED))
+    for n, text in table.items()
+    for cells in (text.split(),)
+    for k in range(0, len(cells), 2)
+)
+
+
+@query(
+    f"""WITH RECURSIVE res AS (SELECT unnest(range(20)) AS i, unnest(string_split('{matrices.RESIDUES}', '')) AS a, unnest({matrices.MUTABILITY}) AS mut, unnest({matrices.FREQUENCY}) AS raw),
+f AS (SELECT i, a, mut, raw / sum(raw) OVER () AS f FROM res),
+rows_ AS (SELECT unnest(range(1, 20)) AS i, unnest(string_split('{matrices.MUTATIONS.strip()}', chr(10))) AS line),
+low AS (SELECT i, unnest(range(i)) AS j, CAST(unnest(string_split(line, ' ')) AS DOUBLE) AS n FROM rows_),
+counts AS (SELECT i, j, n FROM low UNION ALL SELECT j, i, n FROM low),
+rate AS (SELECT 0.01 / sum(f * mut) AS r FROM f),
+step AS (
+  SELECT c.i, c.j, n / sum(n) OVER (PARTITION BY c.j) * mut * r AS v FROM counts c JOIN f ON f.i = c.j, rate
+  UNION ALL SELECT i, i, 1 - mut * r FROM f, rate),
+power AS (
+  SELECT 1 AS n, i, j, v FROM step
+  UNION ALL SELECT n + 1, step.i, power.j, sum(step.v * power.v) FROM power JOIN step ON step.j = power.i WHERE n < 250 GROUP BY n, step.i, power.j),
+unit AS (SELECT * FROM (VALUES {_UNITS}) u(matrix, n, unit)),
+one AS (SELECT matrix, unit, p.i, p.j, v / f AS o FROM power p JOIN unit USING (n) JOIN f ON f.i = p.i),
+odds AS (SELECT x.matrix, x.unit, x.i, x.j, (x.o + y.o) / 2 AS o FROM one x JOIN one y ON x.matrix = y.matrix AND x.i = y.j AND x.j = y.i),
+part AS (SELECT a AS g, i, f FROM f UNION ALL SELECT 'B', i, f FROM f WHERE a IN ('N', 'D') UNION ALL SELECT 'Z', i, f FROM f WHERE a IN ('Q', 'E') UNION ALL SELECT 'X', i, f FROM f),
+member AS (SELECT g, i, f / sum(f) OVER (PARTITION BY g) AS w FROM part),
+pam AS (
+  SELECT matrix, x.g AS a, y.g AS b, CASE WHEN 'X' IN (x.g, y.g) THEN sum(x.w * y.w * ln(greatest(o, 1e-12))) ELSE ln(greatest(sum(x.w * y.w * o), 1e-12)) END / any_value(unit) AS v
+  FROM odds JOIN member x ON x.i = odds.i JOIN member y ON y.i = odds.j GROUP BY matrix, x.g, y.g),
+lines AS (SELECT matrix, star, unnest(range(20)) AS i, unnest(string_split(text, chr(10))) AS line FROM (VALUES {_TRIANGLES}) t(matrix, text, star)),
+cells AS (SELECT matrix, i, unnest(range(i + 1)) AS j, CAST(unnest(string_split(line, ' ')) AS INTEGER) AS v FROM lines),
+whole AS (SELECT matrix, i, j, v FROM cells UNION SELECT matrix, j, i, v FROM cells),
+blosum AS (
+  SELECT matrix, x.g AS a, y.g AS b, CASE WHEN 'X' IN (x.g, y.g) THEN -1 ELSE avg(v) END AS v
+  FROM whole JOIN part x ON x.i = whole.i JOIN part y ON y.i = whole.j GROUP BY matrix, x.g, y.g),
+rule AS (SELECT matrix, a, b, sign(v) * floor(abs(v) + 0.5) AS v FROM (SELECT * FROM pam UNION ALL SELECT * FROM blosum)),
+star AS (SELECT matrix, min(v) AS star FROM rule WHERE matrix LIKE 'pam%' GROUP BY matrix UNION SELECT DISTINCT matrix, star FROM lines),
+fixed AS (SELECT * FROM (VALUES {_PUBLISHED}) t(matrix, a, b, v)),
+known AS (
+  SELECT matrix, a, b, coalesce(x.v, y.v, rule.v) AS v FROM rule LEFT JOIN fixed x USING (matrix, a, b) LEFT JOIN (SELECT matrix, b AS a, a AS b, v FROM fixed) y USING (matrix, a, b)),
+like_x AS (SELECT matrix, u.l AS a, b, v FROM known, (SELECT unnest(['U', 'O']) AS l) u WHERE a = 'X'),
+more AS (SELECT * FROM known UNION ALL SELECT * FROM like_x UNION ALL SELECT matrix, b, a, v FROM like_x),
+both_x AS (SELECT matrix, p.l AS a, q.l AS b, v FROM known, (SELECT unnest(['U', 'O']) AS l) p, (SELECT unnest(['U', 'O']) AS l) q WHERE a = 'X' AND b = 'X'),
+no_j AS (SELECT * FROM more UNION ALL SELECT * FROM both_x),
+j AS (SELECT matrix, b, sign(avg(v)) * floor(abs(avg(v)) + 0.5) AS v FROM no_j WHERE a IN ('I', 'L') GROUP BY matrix, b),
+jj AS (SELECT matrix, sign(avg(v)) * floor(abs(avg(v)) + 0.5) AS v FROM j WHERE b IN ('I', 'L') GROUP BY matrix),
+letters AS (SELECT * FROM no_j UNION ALL SELECT matrix, 'J', b, v FROM j UNION ALL SELECT matrix, b, 'J', v FROM j UNION ALL SELECT matrix, 'J', 'J', v FROM jj),
+ends AS (SELECT DISTINCT matrix, a FROM letters)
+SELECT matrix, a, b, CAST(v AS INTEGER) AS score FROM (SELECT * FROM letters
+  UNION ALL SELECT matrix, a, '*', star FROM ends JOIN star USING (matrix) UNION ALL SELECT matrix, '*', a, star FROM ends JOIN star USING (matrix)
+  UNION ALL SELECT matrix, '*', '*', 1 FROM star)"""
+)
 def substitution_scores(spark, sf_dir):
-    """All seven matrices as a table; ``matrix_cells`` holds cells of each against published ones."""
+    """All seven matrices as a table; the oracle follows the rules from the same fixed values, ``matrix_cells`` holds published cells."""
     rows = [(name, a, b, m.score(a, b)) for name, (of, n) in MATRICES.items() for m in (of(n),) for a in m.letters for b in m.letters]
     return spark.createDataFrame(rows, "matrix string, a string, b string, score int")
 
