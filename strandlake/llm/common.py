@@ -79,11 +79,12 @@ PART_ROWS, HOT_KEYS = 100_000, 100_000
 def small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if it takes at most ``BROADCAST_BYTES``; as it is otherwise, for a shuffled join.
 
-    df should be a stored table of columns of fixed width (8 bytes each, and about 40 for a row's place in the hash table).
+    df should be a stored table of columns of fixed width (8 bytes each, and about 40 for a row's place in the hash table);
+    others have no known size and aren't broadcast by this.
     """
     kinds = {f.dataType.typeName() for f in df.schema.fields}
     if not kinds <= {"long", "integer", "short", "byte", "boolean", "double", "float"}:
-        raise TypeError("only columns of fixed width have a known size")
+        return df
     rows = BROADCAST_BYTES // (40 + 8 * len(df.columns))
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
