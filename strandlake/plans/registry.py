@@ -579,7 +579,8 @@ def bam_round_trip(spark, sf_dir):
     from strandlake.operators.dictionary import resolve
 
     refs = spark.createDataFrame([(k, n, size) for k, (n, size) in enumerate(REFS)], "tid int, name string, len bigint")
-    rows = resolve(_alignments(spark, sf_dir), refs)
+    # as many files as tasks can write at once, however few partitions the small table has
+    rows = resolve(_alignments(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism), refs)
     path = fresh(spark, "a.bam")
     bam.write_bam(bam.packed_rows(rows), path, HEADER, REFS)
     return bam.read_bam(spark, f"{path}/part-*").select("qname", "flag", "tid", "pos", "cigar", "seq", "qual", "tlen")

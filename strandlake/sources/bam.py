@@ -8,10 +8,13 @@ which is always 0, so that a line end of one zero byte after the rest of each bl
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
@@ -40,24 +43,26 @@ class Stream:
     """Bytes of the blocks, taken as needed."""
 
     def __init__(self, data):
-        self.blocks, self.held = bgzf.blocks(data), bytearray()
+        self.blocks, self.held, self.at = bgzf.blocks(data), b"", 0
+
+    def _more(self) -> bool:
+        """The next block behind what is held; False at the end."""
+        more = next(self.blocks, None)
+        if more is not None:
+            self.held, self.at = self.held[self.at :] + more, 0
+        return more is not None
 
     def take(self, n: int) -> bytes:
-        while len(self.held) < n:
-            more = next(self.blocks, None)
-            if more is None:
+        while len(self.held) - self.at < n:
+            if not self._more():
                 raise BamError("the file ends inside a field")
-            self.held += more
-        out = bytes(self.held[:n])
-        del self.held[:n]
-        return out
+        self.at += n
+        return self.held[self.at - n : self.at]
 
     def ended(self) -> bool:
-        while not self.held:
-            more = next(self.blocks, None)
-            if more is None:
+        while self.at == len(self.held):
+            if not self._more():
                 return True
-            self.held += more
         return False
 
     def number(self) -> int:
@@ -76,6 +81,7 @@ def header(stream: Stream) -> tuple[str, list[tuple[str, int]]]:
     return text, refs
 
 
+@lru_cache(4096)
 def packed_cigar(raw: bytes) -> str:
     """Operations of whole 4-byte entries: code in the low four bits, length above."""
     whole = struct.unpack(f"<{len(raw) // 4}I", raw[: len(raw) // 4 * 4])
@@ -180,19 +186,19 @@ def aux_as_text(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else aux_text(bytes(b)))
 
 
-def encode_record(r) -> bytes:
+@lru_cache(4096)
+def encode_cigar(text: str) -> bytes:
+    """Packed operations of a CIGAR text."""
+    ops = [int(n) << 4 | CIGAR_OPS.index(op) for n, op in re.findall(r"(\d+)(\D)", text)]
+    return struct.pack(f"<{len(ops)}I", *ops)
+
+
+def encode_record(qname, flag, tid, pos, mapq, mtid, pnext, tlen, bin_, l_seq, cigar, seq_packed, qual_raw, aux_raw) -> bytes:
     """A row of FIELDS as it is in a file; pos and pnext 0 are absent."""
-    ops, n = [], ""
-    for c in r["cigar"] or "":
-        if c.isdigit():
-            n += c
-        else:
-            ops.append(int(n) << 4 | CIGAR_OPS.index(c))
-            n = ""
-    name = (r["qname"] or "*").encode() + b"\0"
-    body = struct.pack("<iiBBHHHiiii", r["tid"], r["pos"] - 1, len(name), r["mapq"], r["bin"], len(ops), r["flag"], r["l_seq"], r["mtid"], r["pnext"] - 1, r["tlen"])
-    body += name + struct.pack(f"<{len(ops)}I", *ops) + bytes(r["seq_packed"]) + bytes(r["qual_raw"]) + bytes(r["aux_raw"])
-    return struct.pack("<i", len(body)) + body
+    ops, name = encode_cigar(cigar or ""), (qname or "*").encode() + b"\0"
+    size = 32 + len(name) + len(ops) + len(seq_packed) + len(qual_raw) + len(aux_raw)
+    head = struct.pack("<iiiBBHHHiiii", size, tid, pos - 1, len(name), mapq, bin_, len(ops) // 4, flag, l_seq, mtid, pnext - 1, tlen)
+    return b"".join((head, name, ops, seq_packed, qual_raw, aux_raw))
 
 
 def encode_header(text: str, refs: list[tuple[str, int]]) -> bytes:
@@ -222,7 +228,7 @@ def write_bam(df: DataFrame, path: str, text: str, refs: list[tuple[str, int]])
     Rows keep their order inside a partition, and a task holds one block.
     """
 
-    def run(frames):
+    def run(batches):
         def sent(payload: bytes, last: bool = False):
             data = bgzf.deflate(payload, end=last)
             cuts = []
@@ -230,17 +236,17 @@ def write_bam(df: DataFrame, path: str, text: str, refs: list[tuple[str, int]])
             while at < len(data):
                 at += bgzf.block_size(data, at)[0]
                 cuts.append(at)
-            return pd.DataFrame({"block": [data[a : b - 1] for a, b in zip([0, *cuts], cuts)]})
+            return pa.RecordBatch.from_arrays([pa.array([data[a : b - 1] for a, b in zip([0, *cuts], cuts)], pa.binary())], names=["block"])
 
         held = bytearray(encode_header(text, refs))
-        for pdf in frames:
-            for r in pdf.to_dict("records"):
-                one = encode_record(r)
+        for batch in batches:
+            for r in zip(*(batch.column(k).to_pylist() for k in range(len(FIELDS)))):
+                one = encode_record(*r)
                 if len(held) + len(one) > bgzf.MAX_PAYLOAD:
                     yield sent(bytes(held))
                     held = bytearray()
                 held += one
         yield sent(bytes(held), last=True)
 
-    blocks = df.select(*FIELDS).mapInPandas(run, "block binary")
+    blocks = df.select(*FIELDS).mapInArrow(run, "block binary")
     blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\x00").text(path)
