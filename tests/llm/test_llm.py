@@ -511,6 +511,24 @@ def test_jaccard_join(spark, monkeypatch, n, num, den, frequent, full, part):
     assert Counter(map(tuple, got.collect())) == plain_components(rows, n, num, den)
 
 
+@pytest.mark.parametrize("known", [True, False])
+def test_jaccard_index_is_written_once(spark, monkeypatch, known):
+    """A passage of 30 documents makes over-full entries where its tokens come early. The sketch puts them last; without it
+    (known False) documents extend their prefixes, and only their entries are written and counted anew."""
+    monkeypatch.setattr(jaccard, "FULL", 8)
+    if not known:
+        monkeypatch.setattr(jaccard.Join, "_sketch", lambda self, total: np.zeros(jaccard.BUCKETS, np.uint8), raising=False)
+    made, scratch = [], common.Scratch.__call__
+    monkeypatch.setattr(common.Scratch, "__call__", lambda self, df, name: made.append(name) or scratch(self, df, name))
+    rng = random.Random(6)
+    passage = prose(rng, 20, 10**6)
+    rows = [f"{prose(rng, 40, 10**6)} {passage}" for _ in range(30)]
+    rows += [x + " more" for x in rows[:3]] + [prose(rng, 40, 10**6) for _ in range(30)]
+    got = jaccard.link(docs_of(spark, rows), 3, 90, 100)
+    assert Counter(map(tuple, got.collect())) == plain_components(list(enumerate(rows)), 3, 90, 100)
+    assert made.count("index") == 1 and ("full" in made) != known
+
+
 def test_jaccard_edges(spark):
     long = prose(random.Random(1), 50, 5000)
     other = prose(random.Random(2), 50, 5000)
