@@ -4,27 +4,75 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+#: Largest part of a file that a task reads at once, and what it sends at once: so many bytes, or rows.
+PART, SENT, SENT_ROWS = 32 << 20, 4 << 20, 20_000
 
-def parsed(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[tuple]], schema: str, columns: list[str], rows: int = 20_000) -> DataFrame:
-    """One task a file; the rows that parse gives for its bytes, in batches."""
+
+def batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about SENT bytes of text."""
+
+    def made(held):
+        columns = zip(*held) if held else ([] for _ in schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, (str, bytes)))
+        if size >= SENT or len(held) >= SENT_ROWS:
+            yield made(held)
+            held, size = [], 0
+    if held:
+        yield made(held)
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def parsed(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
+    """path and schema: one task a file; the rows that parse gives for its bytes, in batches."""
+    own = f"path string, {schema}"
+    arrow = arrow_schema(own)
 
     def run(frames):
-        for pdf in frames:
-            for name, content in zip(pdf.path, pdf.content):
-                held = []
-                for row in parse(bytes(content)):
-                    held.append((name, *row))
-                    if len(held) >= rows:
-                        yield pd.DataFrame(held, columns=["path", *columns], dtype=object)
-                        held = []
-                yield pd.DataFrame(held, columns=["path", *columns], dtype=object)
+        for frame in frames:
+            for name, content in zip(frame.column(0), frame.column(1)):
+                yield from batches(((name.as_py(), *row) for row in parse(memoryview(content.as_buffer()).cast("B"))), arrow)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, f"path string, {schema}")
+    return files.mapInArrow(run, own)
+
+
+def joined(spark: SparkSession, source: str, path: str) -> None:
+    """One file of the parts in a folder, in the order of their names. Bytes go through the driver, a buffer at a time."""
+    conf, hadoop = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop
+    place, to = hadoop.fs.Path(source), hadoop.fs.Path(path)
+    store = place.getFileSystem(conf)
+    parts = sorted((x.getPath() for x in store.listStatus(place) if x.getPath().getName().startswith("part-")), key=lambda x: x.getName())
+    out = to.getFileSystem(conf).create(to)
+    try:
+        for part in parts:
+            stream = store.open(part)
+            try:
+                hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            finally:
+                stream.close()
+    finally:
+        out.close()
+
+
+def packed(spark: SparkSession, path: str) -> bool:
+    """Whether one of the files is expanded by Spark's text reader."""
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration())
+    place, uri = spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.java.net.URI
+    return any(codecs.getCodec(place(uri(name))) is not None for name in spark.read.text(path).inputFiles())
 
 
 def check_heads(spark: SparkSession, path: str, letter: str) -> None:

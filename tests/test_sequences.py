@@ -1,5 +1,6 @@
 """Goldens and properties of the sequence functions, operators and sources."""
 
+import os
 import random
 from collections import Counter
 from functools import lru_cache
@@ -352,6 +353,50 @@ def test_fastq_in_parts(spark, tmp_path, size):
         fastx.read_fastq(spark, str(tmp_path / "bad.fq")).collect()
 
 
+@pytest.mark.parametrize("size", [40, 150, 400])
+def test_files_of_several_parts(spark, tmp_path, monkeypatch, size):
+    """Index and rows of files cut into parts are those of whole files, however the parts are guessed to begin; nothing holds a whole file."""
+    rng = random.Random(size)
+    texts = {}
+    for name in ("fq", "fa", "mixed"):
+        out = []
+        for i in range(40):
+            n, end = rng.randrange(0, 70), rng.choice(("\n", "\r\n"))
+            seq, w = "".join(rng.choices("ACGT", k=n)), 25
+            cut = lambda t, w=w, end=end: end.join(t[a : a + w] for a in range(0, max(len(t), 1), w))
+            # qualities that look like headers
+            qual = "".join(rng.choices("@>+I", k=n))
+            fq = f"@r{i} x{end}{cut(seq)}{end}+{end}{cut(qual)}{end}"
+            fa = f">r{i} x{end}{cut(seq)}{end}"
+            out.append(fq if name == "fq" or name == "mixed" and i % 3 else fa)
+        texts[name] = "".join(out).encode()
+        (tmp_path / f"{name}.seq").write_bytes(texts[name])
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        monkeypatch.setattr(fastx, "parsed", None)  # one task a file
+        for name, data in texts.items():
+            path = str(tmp_path / f"{name}.seq")
+            assert sorted(map(tuple, fastx.read_fastx(spark, path).collect())) == sorted(fastx._rows(data), key=str)
+            index = fastx.scan_index(spark, path)
+            assert index.rdd.getNumPartitions() > 3
+            assert sorted(map(str, (tuple(r)[1:] for r in index.collect()))) == sorted(str(fastx._index(*r)) for r in fastx._records(fastx._lines(lambda at, n, d=data: d[at : at + n], 0, len(data)), True))
+            assert sorted(map(str, (r.seq for r in fastx.fetch(spark, path, index.drop("path")).collect()))) == sorted(r[1] for r in fastx._rows(data))
+        (tmp_path / "late.fq").write_text("@a\nACGT\n+\nIIII\n" * 40 + "@a\nACGT\n+\nIII\n")
+        with pytest.raises(Exception, match="differ in l"):
+            fastx.read_fastx(spark, str(tmp_path / "late.fq")).collect()
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_one_file_by_many_tasks(spark, tmp_path):
+    rows = spark.range(0, 50, numPartitions=7).select(F.concat(F.lit("r"), "id").alias("name"), F.lit("ACGTA").alias("seq"))
+    fastx.write_one_file(spark, lambda to: fastx.write_fasta(rows, to, 3), str(tmp_path / "one"), str(tmp_path / "parts"))
+    (one,) = [f for f in os.listdir(tmp_path / "one") if f.startswith("part-")]
+    assert (tmp_path / "one" / one).read_text() == "".join(f">r{i}\nACG\nTA\n" for i in range(50)) and not (tmp_path / "parts").exists()
+
+
 def test_fetch_from_many_files(spark, tmp_path, monkeypatch):
     for name in "abc":
         (tmp_path / f"{name} 1.fa").write_text(f">{name}1 x\nACGT\nAC{name.upper()}\n>{name}2\n\n>{name}3\nGG\n")
