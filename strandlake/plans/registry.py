@@ -484,8 +484,8 @@ def fetch_many(spark, sf_dir):
 )
 def fasta_index(spark, sf_dir):
     """One file is indexed, its index written and read again, and every sequence fetched by it."""
-    path, fai = fresh(spark, "one.fa"), fresh(spark, "one.fai")
-    fastx.write_fasta(_reads(spark, sf_dir).coalesce(1), path, width=60)
+    path, parts, fai = fresh(spark, "one.fa"), fresh(spark, "parts.fa"), fresh(spark, "one.fai")
+    fastx.write_one_file(spark, lambda to: fastx.write_fasta(_reads(spark, sf_dir), to, width=60), path, parts)
     fastx.write_index(fastx.scan_index(spark, path), fai)
     index = fastx.read_index(spark, fai)
     got = fastx.fetch(spark, f"{path}/part-*", index).select("name", F.md5("seq").alias("fetched"))
@@ -496,8 +496,8 @@ def fasta_index(spark, sf_dir):
     f"""{DOCS} SELECT 'doc' || doc_id AS name, CAST(length(s) AS BIGINT) AS length, CAST(length(s) + 3 AS BIGINT) AS gap, md5(s) AS seq, md5(translate(s, 'ACGT', '@I5+')) AS qual FROM d WHERE s <> ''"""
 )
 def fastq_index(spark, sf_dir):
-    path, fai = fresh(spark, "one.fq"), fresh(spark, "one.fqi")
-    fastx.write_fastq(_reads(spark, sf_dir).coalesce(1), path)
+    path, parts, fai = fresh(spark, "one.fq"), fresh(spark, "parts.fq"), fresh(spark, "one.fqi")
+    fastx.write_one_file(spark, lambda to: fastx.write_fastq(_reads(spark, sf_dir), to), path, parts)
     fastx.write_index(fastx.scan_index(spark, path), fai)
     index = fastx.read_index(spark, fai, fastq=True)
     got = fastx.fetch(spark, f"{path}/part-*", index).select("name", F.md5("seq").alias("seq"), F.md5("qual").alias("qual"))
