@@ -6,12 +6,15 @@ plain functions for study. An empty pattern is an error.
 
 from __future__ import annotations
 
-import pandas as pd
+from array import array
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .columns import unused
+from .columns import list_array, small_batches, unused
 
 
 def contains(text: Column, pattern: str) -> Column:
@@ -38,31 +41,45 @@ def find_all(text: Column, pattern: str) -> Column:
     """
     _checked(pattern)
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def positions(texts: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return None
-            out, at = [], t.find(pattern)
-            while at >= 0:
-                out.append(at)
-                at = t.find(pattern, at + 1)
-            return out
-
-        return texts.map(one)
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def positions(texts: pa.Array) -> pa.Array:
+        rows = [None if t is None else _positions(t, pattern) for t in (v.as_py() for v in texts)]
+        return list_array(rows, lambda found: pa.array(found, pa.int32()), np.int32)
 
     return positions(F.when(contains(text, pattern), text).when(text.isNotNull(), ""))
 
 
-def find_patterns(df: DataFrame, text: str, patterns: list[str]) -> DataFrame:
-    """df's rows by match: pattern and position are added. One pass over the texts for all patterns."""
+def _positions(text: str, pattern: str) -> np.ndarray:
+    """As numbers of four bytes, so that long texts with many matches stay small."""
+    out, at = array("i"), text.find(pattern)
+    while at >= 0:
+        out.append(at)
+        at = text.find(pattern, at + 1)
+    return np.frombuffer(out, np.int32)
 
-    def matches(p: str) -> Column:
-        return F.transform(find_all(F.col(text), p), lambda i: F.struct(F.lit(p).alias("pattern"), i.alias("position")))
 
-    own = unused("_found", df)
-    found = df.withColumn(own, F.concat(*map(matches, patterns)))
-    return found.select(*df.columns, F.inline(own))
+def find_patterns(df: DataFrame, text: str, patterns: list[str]) -> DataFrame:
+    """df's rows by match: pattern and position are added. One pass over the texts for all patterns; a text goes to the function once."""
+    kinds = [*map(_checked, patterns)]
+
+    @F.arrow_udf(ArrayType(StructType([StructField("kind", IntegerType()), StructField("position", IntegerType())])))
+    def matches(texts: pa.Array) -> pa.Array:
+        def one(t):
+            found = [_positions(t, p) for p in kinds]
+            return np.stack([np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found]), np.concatenate(found)], 1)
+
+        rows = [None if t is None else one(t) for t in (v.as_py() for v in texts)]
+        return list_array(rows, lambda m: pa.StructArray.from_arrays([pa.array(m[:, k], pa.int32()) for k in (0, 1)], ["kind", "position"]), np.int32, 2)
+
+    small_batches(df.sparkSession)
+    t, own, kind, place = F.col(text), *(unused(name, df) for name in ("_found", "_kind", "_place"))
+    some = F.lit(False)
+    for p in kinds:
+        some = some | contains(t, p)
+    found = df.withColumn(own, matches(F.when(some, t)))
+    # inline alone would have the function run twice, once for a filter on its arrays
+    rows = found.select(*df.columns, F.inline_outer(own).alias(kind, place)).where(F.col(kind).isNotNull())
+    return rows.select(*df.columns, F.get(F.array(*map(F.lit, kinds)), F.col(kind)).alias("pattern"), F.col(place).alias("position"))
 
 
 def kmp_borders(pattern: str) -> list[int]:

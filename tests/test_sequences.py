@@ -166,6 +166,28 @@ def test_orfs(spark):
         assert found(s) == sorted(want, key=lambda x: (x[1], x[0]))
 
 
+@pytest.mark.parametrize("of", ["find_patterns", "find_orfs"])
+def test_long_texts_go_in_small_batches(spark, of):
+    """A text goes to one function once, few rows at once; rows without a text have no match."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        texts = [(0, "AAAATGCCCTAAGATGAAATGA"), (1, None), (2, ""), (3, "CCGG")]
+        df = spark.createDataFrame(texts, "id int, s string")
+        if of == "find_patterns":
+            found = matching.find_patterns(df, "s", ["AA", "ATG", "GG"])
+            want = [(i, s, p, k) for i, s in texts for p in ("AA", "ATG", "GG") for k in range(len(s or "")) if s.startswith(p, k)]
+        else:
+            found = orf.find_orfs(df, "s", ["ATG"], ["TGA", "TAA"], 5)
+            want = [(0, texts[0][1], 3, 12, 0), (0, texts[0][1], 13, 22, 1)]
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+        assert spark.conf.get(key) == "1000"
+        assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython ") == 1
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_fulltext(spark):
     rng = random.Random(3)
     texts = ["GCCTTAACATTATTACGCCTA$", "TGTGTGTGTG$", "$"] + ["".join(rng.choices("AC", k=rng.randint(1, 60))) + "$" for _ in range(10)]
