@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, ByteType, LongType, StructField, StructType
 
-from strandlake.functions.columns import unused
+from strandlake.functions.columns import list_array, small_batches, unused
 
 ORF = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("offset", ByteType())]))
 
@@ -50,15 +51,22 @@ def open_reading_frames(seq: Column, starts: list[str], stops: list[str], min_le
     codons = codon_pattern(starts, stops)
     first, last = frozenset(starts), frozenset(stops)
 
-    @F.pandas_udf(ORF)
-    def found(seqs: pd.Series) -> pd.Series:
-        return seqs.map(lambda s: None if s is None else [{"start": a, "end": b, "offset": c} for a, b, c in scan(s, codons, first, last, min_length)])
+    @F.arrow_udf(ORF)
+    def found(seqs: pa.Array) -> pa.Array:
+        scanned = (None if s is None else scan(s, codons, first, last, min_length) for s in (v.as_py() for v in seqs))
+        rows = [None if r is None else np.array(r, np.int64).reshape(-1, 3) for r in scanned]
+        columns = ("start", pa.int64()), ("end", pa.int64()), ("offset", pa.int8())
+        return list_array(rows, lambda m: pa.StructArray.from_arrays([pa.array(m[:, k], pa.int64()).cast(t) for k, (_, t) in enumerate(columns)], [n for n, _ in columns]), np.int64, 3)
 
     return found(seq)
 
 
 def find_orfs(df: DataFrame, seq: str, starts: list[str], stops: list[str], min_length: int) -> DataFrame:
     """Rows of df by reading frame: start, end and offset are added."""
+    small_batches(df.sparkSession)
     own = unused("_orfs", df)
     found = df.withColumn(own, open_reading_frames(F.col(seq), starts, stops, min_length))
-    return found.select(*df.columns, F.inline(own))
+    # inline alone would have the function run twice, once for a filter on its arrays
+    names = {unused(f"_{n}", df): n for n in ("start", "end", "offset")}
+    rows = found.select(*df.columns, F.inline_outer(own).alias(*names)).where(F.col(next(iter(names))).isNotNull())
+    return rows.select(*df.columns, *(F.col(c).alias(n) for c, n in names.items()))
