@@ -1,4 +1,7 @@
-"""Rank transform, q-grams and fixed-width bit packing as column expressions."""
+"""Rank transform, q-grams and fixed-width bit packing as columns.
+
+Ranks and packed blocks are made by Arrow functions, all values of a batch at once; lambdas cost a hundred times as much for each letter.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
+from .columns import list_array
 
 @dataclass(frozen=True)
 class RankTransform:
@@ -33,6 +38,26 @@ class RankTransform:
         return F.when(at > 0, at - 1).when(c.isNotNull(), F.raise_error(F.concat(F.lit("no rank for "), c)).cast("int"))
 
     def transform(self, text: Column) -> Column:
+        """An array of the ranks of a text's letters."""
+        codes = np.array([ord(c) for c in self.alphabet], np.uint32)
+
+        @F.arrow_udf(ArrayType(IntegerType()))
+        def ranks(texts: pa.Array) -> pa.Array:
+            rows = [None if t is None else np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (v.as_py() for v in texts)]
+
+            def found(letters: np.ndarray) -> pa.Array:
+                rank = np.searchsorted(codes, letters).astype(np.int32)
+                wrong = codes[np.minimum(rank, len(codes) - 1)] != letters if len(codes) else np.ones(len(letters), bool)
+                if wrong.any():
+                    raise ValueError(f"no rank for {chr(letters[wrong.argmax()])}")
+                return pa.array(rank)
+
+            return list_array(rows, found, np.uint32)
+
+        return ranks(text)
+
+    def _letters(self, text: Column) -> Column:
+        """``transform`` as an expression, which may stand in lambdas; for short texts."""
         letters = F.when(F.length(text) > 0, F.split(text, "")).when(text.isNotNull(), F.array().cast("array<string>"))
         return F.transform(letters, self.rank)
 
@@ -40,7 +65,7 @@ class RankTransform:
         """Packed q-grams from left to right; none for a shorter text. 64-bit patterns may be negative."""
         if q < 1 or q * self.width > 64:
             raise ValueError("q-grams need 1 to 64 bits")
-        return self.packed(q, self.transform(text))
+        return self.packed(q, self._letters(text))
 
     def packed(self, q: int, ranks: Column) -> Column:
         """The q-grams of an array of ranks. For long texts the ranks should be a column of their own, so that they are made once."""
@@ -127,15 +152,20 @@ class BitEncoding:
         return (1 << self.width) - 1
 
     def pack(self, values: Column) -> Column:
-        per, w = self.per_block, self.width
-        n = F.ceil(F.size(values) / per).cast("int")
-        blocks = F.when(n >= 1, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).when(values.isNotNull(), F.array().cast("array<int>"))
+        """Blocks; one with a null among its values is null."""
+        per, w, mask = self.per_block, self.width, self.mask
 
-        def block(b: Column) -> Column:
-            own = F.reverse(F.slice(values, b * per + 1, per))
-            return F.aggregate(own, F.lit(0).cast("long"), lambda acc, v: F.shiftleft(acc, w).bitwiseOR(v.cast("long").bitwiseAND(F.lit(self.mask).cast("long"))))
+        @F.arrow_udf(ArrayType(LongType()))
+        def blocks(lists: pa.Array) -> pa.Array:
+            sizes, flat, known = _flat(lists)
+            own = -(-sizes // per)
+            to = _places(sizes, _starts(own) * per)
+            padded, whole = np.zeros(own.sum() * per, np.int64), np.ones(own.sum() * per, bool)
+            padded[to], whole[to] = flat & mask, known
+            made = np.bitwise_or.reduce(padded.reshape(-1, per) << np.arange(per) * w, axis=1)
+            return _lists(own, made, whole.reshape(-1, per).all(axis=1), lists.is_null())
 
-        return F.transform(blocks, block)
+        return blocks(values)
 
     def push(self, values: Column, value: Column, times: Column) -> Column:
         """values (unpacked) with value added so many times."""
@@ -153,8 +183,42 @@ class BitEncoding:
         return self.pack(F.transform(self.unpack(blocks, size), lambda v, k: F.when(k == i, value.cast("long")).otherwise(v)))
 
     def unpack(self, blocks: Column, size: Column) -> Column:
-        at = F.when(size >= 1, F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)))).when(size.isNotNull(), F.array().cast("array<int>"))
-        return F.transform(at, lambda i: self.get(blocks, size, i))
+        """The first values, so many; null beyond the blocks and in null blocks."""
+        per, w, mask = self.per_block, self.width, self.mask
+
+        @F.arrow_udf(ArrayType(LongType()))
+        def values(lists: pa.Array, size: pa.Array) -> pa.Array:
+            have, flat, known = _flat(lists)
+            sizes = np.maximum(size.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), 0)
+            i = _places(sizes, np.zeros(len(sizes), np.int64))
+            at, there = i // per + np.repeat(_starts(have), sizes), i // per < np.repeat(have, sizes)
+            at = np.where(there, at, 0)
+            if not len(flat):
+                flat, known = np.zeros(1, np.int64), np.zeros(1, bool)
+            return _lists(sizes, flat[at] >> i % per * w & mask, there & known[at], size.is_null())
+
+        return values(blocks, size)
 
     def blocks_for(self, size: Column) -> Column:
         return F.ceil(size / self.per_block).cast("long")
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of lists (0 for null), their values put together as 64-bit numbers, and which of those aren't null."""
+    sizes = lists.value_lengths().cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+    values = lists.flatten().cast(pa.int64())
+    return sizes, values.fill_null(0).to_numpy(zero_copy_only=False), values.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _places(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For the values of all lists: the start given for their list, plus their place in it."""
+    return np.arange(sizes.sum()) + np.repeat(starts - _starts(sizes), sizes)
+
+
+def _lists(sizes: np.ndarray, values: np.ndarray, known: np.ndarray, missing: pa.Array) -> pa.Array:
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(values, pa.int64(), mask=None if known.all() else ~known), mask=missing)

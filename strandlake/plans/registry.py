@@ -21,6 +21,7 @@ from strandlake.functions.alphabet import (
     nucleotide_letter,
     three_letter,
 )
+from strandlake.functions.columns import small_batches
 from strandlake.functions.ranks import BitEncoding, RankTransform
 from strandlake.functions.ranks import qgram_counts as count_qgrams
 from strandlake.operators import align, fulltext, length_stats as ls, matrices, orf
@@ -46,6 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dna_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return table(spark, sf_dir, "documents").select("doc_id", derived_dna(F.col("text")).alias("s"))
 
 
@@ -287,7 +289,10 @@ SELECT doc_id, CAST(list_sum(v) AS BIGINT) AS rank_sum, CAST(ceil(len(v) / 10.0)
 )
 def bit_packing(spark, sf_dir):
     enc, ranks = BitEncoding(3), RankTransform("TGCA")
-    rows = dna_of(spark, sf_dir).select("doc_id", ranks.transform(F.col("s")).alias("v")).where("size(v) > 0")
+    small_batches(spark)
+    # a filter on the sequence would derive it once more
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike("[A-Za-z]"))
+    rows = docs.select("doc_id", ranks.transform(derived_dna(F.col("text"))).alias("v"))
     rows = rows.select("doc_id", "v", enc.pack(F.col("v")).alias("b"), F.size("v").alias("n"))
     b, n = F.col("b"), F.col("n")
     return rows.select(
@@ -887,7 +892,7 @@ SELECT item_id, CAST(len(v) AS BIGINT) AS n, CAST(list_sum(v) - v[2] + 3 AS BIGI
 def bit_updates(spark, sf_dir):
     """Values appended before packing, and one replaced after it."""
     enc, ranks = BitEncoding(2), RankTransform("ACGT")
-    rows = short_texts(spark, sf_dir).select("item_id", ranks.transform(F.rtrim("t", F.lit("$"))).alias("v")).where("size(v) > 0")
+    rows = short_texts(spark, sf_dir).where("length(t) > 1").select("item_id", ranks.transform(F.rtrim("t", F.lit("$"))).alias("v"))
     rows = rows.select("item_id", enc.push(F.col("v"), F.lit(2), F.lit(3)).alias("v")).select("item_id", enc.pack(F.col("v")).alias("b"), F.size("v").alias("n"))
     rows = rows.withColumn("c", enc.set(F.col("b"), F.col("n"), F.lit(1), F.lit(3)))
     c, n = F.col("c"), F.col("n")

@@ -84,6 +84,24 @@ def test_ranks_and_bits(spark):
         assert r.u == values and r.n == r.m == -(-70 // (32 // w)) and r.x is None and r.s == 1
 
 
+def test_bits_of_many_rows(spark):
+    """No lambda runs for each letter; nulls, empty arrays and sizes beyond the blocks are as before."""
+    rng, e = random.Random(6), BitEncoding(3)
+    rows = [[rng.randrange(-9, 99) for _ in range(rng.randrange(40))] for _ in range(50)] + [None, [], [1, None, 2], [7] * 10 + [None]]
+    df = spark.createDataFrame([(i, v, None if v is None else "".join("ACGT"[(x or 0) % 4] for x in v)) for i, v in enumerate(rows)], "i int, v array<int>, t string")
+    df = df.withColumn("b", e.pack(F.col("v"))).select("*", e.unpack(F.col("b"), F.lit(12)).alias("u"), e.unpack(F.col("b"), F.when(F.col("i") < 3, F.col("i") - 1)).alias("w"), RankTransform("ACGT").transform(F.col("t")).alias("r"))
+    for r in df.collect():
+        parts = [] if r.v is None else [r.v[k : k + 10] for k in range(0, len(r.v), 10)]
+        blocks = [None if None in p else sum((x & 7) << 3 * k for k, x in enumerate(p)) for p in parts]
+        assert r.b == (None if r.v is None else blocks)
+        assert r.u == [blocks[k // 10] >> 3 * (k % 10) & 7 if k // 10 < len(blocks) and blocks[k // 10] is not None else None for k in range(12)]
+        assert r.w == (r.u[: max(r.i - 1, 0)] if r.i < 3 else None)
+        assert r.r == (None if r.t is None else ["ACGT".index(c) for c in r.t])
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(Exception, match="no rank for x"):
+        one(spark, x=RankTransform("ACGT").transform(F.lit("ACxG")))
+
+
 def test_length_stats(spark):
     def stats(*values):
         r = length_stats.length_stats(spark.createDataFrame([(v,) for v in values], "n long"), F.col("n")).first()
