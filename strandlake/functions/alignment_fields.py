@@ -77,9 +77,14 @@ def aux_fields(text: Column) -> Column:
     skipped; a field of another shape is an error.
     """
 
-    def field(f: Column) -> Column:
+    def parts(f: Column) -> Column:
+        # lambdas share nothing among their columns, so what many of them need is made by one before
         kind, value = F.substring(f, 4, 1), F.substr(f, F.lit(6))
-        shaped = f.rlike("(?s)^..:[AiIcCsSfZHB]:") & (F.length(value) > 0).__or__(kind.isin("Z", "H", "B"))
+        shaped = f.rlike("(?s)^..:[AiIcCsSfZHB]:") & ((F.length(value) > 0) | kind.isin("Z", "H", "B"))
+        return F.struct(f.alias("f"), kind.alias("kind"), value.alias("value"), shaped.alias("shaped"))
+
+    def field(p: Column) -> Column:
+        f, kind, value, shaped = (p[name] for name in ("f", "kind", "value", "shaped"))
         of = lambda *kinds: shaped & kind.isin(*kinds)
         return F.struct(
             F.when(shaped, F.substring(f, 1, 2)).otherwise(F.raise_error(F.concat(F.lit("bad optional field: "), f)).cast("string")).alias("tag"),
@@ -93,7 +98,7 @@ def aux_fields(text: Column) -> Column:
             F.when(of("B"), F.filter(F.split(F.substr(value, F.lit(3)), ","), lambda x: x != "")).alias("arr"),
         )
 
-    return F.transform(F.filter(F.split(text, "\t"), lambda f: f != ""), field)
+    return F.transform(F.transform(F.filter(F.split(text, "\t"), lambda f: f != ""), parts), field)
 
 
 def aux_get(fields: Column, tag: str) -> Column:

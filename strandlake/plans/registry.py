@@ -528,6 +528,15 @@ def _alignments(spark, sf_dir):
     )
 
 
+#: Alignments that are written to one file; a file is one task when it is read.
+FILE_ROWS = 1_000_000
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """As many partitions as tasks can run at once, however few files the table has, and more where files would get long."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // FILE_ROWS)))
+
+
 ALIGNED_SQL = """WITH l AS (SELECT l_orderkey || '/' || l_linenumber AS qname, l_partkey AS k, l_linenumber AS n FROM lineitem),
 a AS (SELECT qname, k, n, CASE WHEN k % 5 = 1 THEN 1 WHEN k % 5 IN (0, 2) THEN -1 ELSE 2 END AS tid FROM l),
 m AS (SELECT *, CASE WHEN k % 3 = 0 THEN tid WHEN k % 3 = 1 THEN -1 ELSE 1 END AS mtid FROM a)"""
@@ -584,8 +593,7 @@ def bam_round_trip(spark, sf_dir):
     from strandlake.operators.dictionary import resolve
 
     refs = spark.createDataFrame([(k, n, size) for k, (n, size) in enumerate(REFS)], "tid int, name string, len bigint")
-    # as many files as tasks can write at once, however few partitions the small table has
-    rows = resolve(_alignments(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism), refs)
+    rows = resolve(_dealt(_alignments(spark, sf_dir)), refs)
     path = fresh(spark, "a.bam")
     bam.write_bam(bam.packed_rows(rows), path, HEADER, REFS)
     return bam.read_bam(spark, f"{path}/part-*").select("qname", "flag", "tid", "pos", "cigar", "seq", "qual", "tlen")
@@ -608,7 +616,7 @@ def bam_fields(spark, sf_dir):
     k, n = F.col("nm"), F.split("qname", "/")[1]
     aux = F.concat(raw(b"NMC"), byte(k % 200), raw(b"XZZn"), F.encode(n, "UTF-8"), raw(b"\0XBBC\x02\0\0\0"), byte(k % 50), raw(b"\x07XFf\0\0\xc0\x3fXAAq"))
     path = fresh(spark, "b.bam")
-    bam.write_bam(bam.packed_rows(resolve(_alignments(spark, sf_dir), refs).withColumn("aux_raw", aux)), path, HEADER, REFS)
+    bam.write_bam(bam.packed_rows(resolve(_dealt(_alignments(spark, sf_dir)), refs).withColumn("aux_raw", aux)), path, HEADER, REFS)
     dictionary = bam.read_bam_refs(spark, f"{path}/part-*").select("tid", "name", "len").distinct()
     own = [(r.name, r.len) for r in dictionary.orderBy("tid").collect()]  # one header's references
     got = bam.read_bam(spark, f"{path}/part-*").withColumn("aux", bam.aux_as_text("aux_raw")).withColumn("x", af.aux_fields(F.col("aux")))

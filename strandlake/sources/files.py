@@ -21,10 +21,13 @@ def batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch
         columns = zip(*held) if held else ([] for _ in schema)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
+    wide = [k for k, f in enumerate(schema) if pa.types.is_string(f.type) or pa.types.is_binary(f.type)]
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += sum(len(v) for v in row if isinstance(v, (str, bytes)))
+        for k in wide:
+            if row[k] is not None:
+                size += len(row[k])
         if size >= SENT or len(held) >= SENT_ROWS:
             yield made(held)
             held, size = [], 0

@@ -84,6 +84,28 @@ def test_ranks_and_bits(spark):
         assert r.u == values and r.n == r.m == -(-70 // (32 // w)) and r.x is None and r.s == 1
 
 
+def test_optional_fields_are_matched_once(spark):
+    """One regular expression for each field, not one for each member of its struct; BAM files are dealt evenly, few rows a file."""
+    from strandlake.plans import registry
+
+    df = spark.createDataFrame([("NM:i:3\t\tMD:Z:\tXB:B:c,1,,2",), ("",), (None,)], "t string")
+    plan = df.select(af.aux_fields(F.col("t")).alias("x"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 1
+    assert [None if r.x is None else [(f.tag, f.type, f.i, f.s, f.sub, f.arr) for f in r.x] for r in plan.collect()] == [
+        [("NM", "i", 3, None, None, None), ("MD", "Z", None, "", None, None), ("XB", "B", None, None, "c", ["1", "2"])], [], None
+    ]
+    for bad in ("NM:i:", "NM:q:1", "NM"):
+        with pytest.raises(Exception, match="bad optional field"):
+            one(spark, x=af.aux_fields(F.lit(bad)))
+    few = registry._dealt(spark.range(0, 40, numPartitions=1))
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    before, registry.FILE_ROWS = registry.FILE_ROWS, 5
+    try:
+        assert registry._dealt(spark.range(0, 40, numPartitions=1)).rdd.getNumPartitions() == 8
+    finally:
+        registry.FILE_ROWS = before
+
+
 def test_bits_of_many_rows(spark):
     """No lambda runs for each letter; nulls, empty arrays and sizes beyond the blocks are as before."""
     rng, e = random.Random(6), BitEncoding(3)
